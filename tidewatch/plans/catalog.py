@@ -6,14 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewatch.plans import pipeline
+from tidewatch.plans import pipeline, reference
 
-FLAGSHIP = "p2_features"
+FLAGSHIP = "entity_nodes"
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(pipeline.QUERIES)
+    return {**reference.QUERIES, **pipeline.QUERIES}
 
 
 def sql() -> dict[str, str]:
-    return dict(pipeline.SQL)
+    return {**reference.SQL, **pipeline.SQL}
