@@ -200,5 +200,8 @@ def project(events: DataFrame, any_kind: bool = True) -> DataFrame:
     kind_hash bit and no Python worker is started.
     """
     parts = with_parts(events)
-    named = {"entities": entities(), "relations": relations()}
+    # The condition always holds.  It keeps the optimizer from copying these deep expressions into filters it
+    # infers from an explode above, once per reference and level.
+    fixed = lambda c: F.when(F.spark_partition_id() >= 0, c)
+    named = {"entities": fixed(entities()), "relations": fixed(relations())}
     return parts.withColumns({**named, **features(any_kind=any_kind)}).drop(*PARTS)

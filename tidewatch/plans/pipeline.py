@@ -107,8 +107,8 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_once(spark: SparkSession, d: str) -> DataFrame:
-    """idr_events with exactly one row per delivered event."""
-    return dedup.delivered_once(table(spark, d, "idr_events"))
+    """idr_events with exactly one row per delivered event, received_at in microseconds."""
+    return dedup.delivered_once(table(spark, d, "idr_events")).withColumn("received_at", F.unix_micros("received_at"))
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
@@ -144,7 +144,7 @@ SQL = {
     "p6_found": f"""SELECT row_no FROM (
   SELECT row_no, k, row_number() OVER (PARTITION BY k ORDER BY received_at, row_no) AS n
   FROM (SELECT row_no, received_at, {_ID} AS k FROM idr_events)) WHERE k IS NOT NULL AND n > 1""",
-    "p6_once": f"""SELECT * EXCLUDE (k, n) FROM (
+    "p6_once": f"""SELECT * EXCLUDE (k, n) REPLACE (epoch_us(received_at) AS received_at) FROM (
   SELECT *, row_number() OVER (PARTITION BY k ORDER BY received_at, row_no) AS n
   FROM (SELECT *, {_ID} AS k FROM idr_events)) WHERE k IS NULL OR n = 1""",
 }

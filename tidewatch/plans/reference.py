@@ -175,8 +175,8 @@ def evidence_ids(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""WITH {EV}, {ENT}, vals AS (SELECT window_id, id, {_SEVERITY} AS severity, {_PRIOR} AS kind_prior FROM evx)
-SELECT e.window_id, entity, round(avg(severity), 6) AS mean_severity, max(severity) AS max_severity, round(avg(kind_prior), 6) AS mean_kind_prior,
-  max(kind_prior) AS max_kind_prior FROM ent e JOIN vals v ON e.window_id = v.window_id AND e.id = v.id GROUP BY ALL""")
+SELECT e.window_id, entity, round(avg(severity), 6) AS mean_severity, CAST(max(severity) AS DOUBLE) AS max_severity, round(avg(kind_prior), 6) AS mean_kind_prior,
+  CAST(max(kind_prior) AS DOUBLE) AS max_kind_prior FROM ent e JOIN vals v ON e.window_id = v.window_id AND e.id = v.id GROUP BY ALL""")
 def static_history_pool(spark: SparkSession, d: str) -> DataFrame:
     pooled = ranking.static_pool(graph.mentions(projected(spark, d), "severity", "kind_prior"), ["severity", "kind_prior"])
     return pooled.select("window_id", "entity", _rounded("mean_severity").alias("mean_severity"), "max_severity", _rounded("mean_kind_prior").alias("mean_kind_prior"), "max_kind_prior")
@@ -450,5 +450,5 @@ def interval_correlation(spark: SparkSession, d: str) -> DataFrame:
     from tidewatch.operators.correlate import interval_join
 
     e = table(spark, d, "events")
-    side = lambda t, n: e.where(F.col("event_type") == t).select(F.col("event_id").alias(n), F.unix_micros("ts").alias("at"))
+    side = lambda t, n: e.where(F.col("event_type") == t).select(F.col("event_id").alias(n), F.unix_micros(F.col("ts").cast("timestamp")).alias("at"))
     return interval_join(side("signup", "first_id"), side("purchase", "second_id"), "at", 500_000).select("first_id", "second_id")

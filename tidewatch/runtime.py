@@ -25,6 +25,8 @@ def local_session(app: str = "tidewatch", cpus: str | int = "*", **conf: str) ->
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "4g")
+        # else building an expression captures a stack trace per call, which takes seconds per query
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
     )
     for key, value in conf.items():
         builder = builder.config(key.replace("__", "."), value)
