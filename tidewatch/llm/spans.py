@@ -8,8 +8,10 @@ global join small:
 1. Each run has a marker, the smallest hash among its ``GRAM``-character grams.
    Consecutive runs mostly have the same one, so a text has few.  Equal runs
    have equal markers; a marker that only one text has rules its runs out.
-2. Texts with a repeated marker are read again, and each run behind a repeated
-   marker is hashed to 128 bits.  Runs are joined globally on that hash.
+2. Texts are read again, and each run behind a repeated marker is hashed to 128
+   bits.  Runs are joined globally on that hash.  The repeated markers reach this
+   pass as a filter of fixed size, whose few false hits only add runs that no
+   other text has; where they are too many for it, texts and markers are joined.
 
 Texts that are exact copies are one class throughout.
 """
@@ -24,10 +26,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.runtime import materialise
+from tidewatch.runtime import is_small, materialise
 
 SPAN = 160
-GRAM = 80
+GRAM = 64
+#: Bits of the filter of repeated markers that is sent to the workers (8 MB), and the markers it is used for at most.
+FILTER_BITS = 1 << 26
+FILTER_MARKERS = FILTER_BITS // 16
+#: Rows of a table of two numbers that is still sent to every executor.
+SENT_ROWS = 500_000
 #: Characters hashed at once; longer texts are cut into parts that overlap by a run.
 PART = 1 << 19
 
@@ -135,21 +142,63 @@ def _runs(span: int, gram: int):
     return run
 
 
+def _filtered_runs(span: int, gram: int, bitmap):
+    """As ``_runs``, with the markers in a bitmap by their low bits."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = np.unpackbits(np.frombuffer(bitmap.value, np.uint8), bitorder="little").view(bool)
+        low = np.uint64(len(known) - 1)
+        for batch in batches:
+            ids, out = batch.column("class_id").to_numpy(), []
+            for codes, places in _groups(batch.column("text").to_pylist(), span):
+                least = running_min(gram_hashes(codes, gram, _ODD[0]), span - gram + 1)
+                hit = known[least & low]
+                if not hit.any():
+                    continue
+                first, second = (gram_hashes(codes, span, b).view(np.int64) for b in _ODD)
+                for i, offset, lo, hi in places:
+                    at = np.flatnonzero(hit[lo : hi - span + 1])
+                    if len(at):
+                        out.append((np.full(len(at), ids[i]), at + offset, first[lo + at], second[lo + at]))
+            columns = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.zeros(0, np.int64)] * 4
+            yield pa.record_batch([pa.array(c, pa.int64()) for c in columns], names=["class_id", "start", "h1", "h2"])
+
+    return run
+
+
+def _bitmap(spark, markers: DataFrame):
+    """The markers' low bits as a broadcast bitmap of ``FILTER_BITS``, put together from parts of 4 KB."""
+    low = F.col("marker").bitwiseAND(F.lit(FILTER_BITS - 1))
+    part = F.bitmap_construct_agg(low.bitwiseAND(F.lit(32767)))
+    rows = markers.groupBy(F.shiftright(low, 15).alias("part")).agg(part.alias("bits")).collect()
+    whole = bytearray(FILTER_BITS // 8)
+    for row in rows:
+        whole[row["part"] * 4096 : (row["part"] + 1) * 4096] = row["bits"]
+    return spark.sparkContext.broadcast(bytes(whole))
+
+
 def text_classes(documents: DataFrame) -> DataFrame:
     """(doc_id, class_id, text): class_id is equal for equal texts; texts that are null have none."""
     return documents.where(F.col("text").isNotNull()).select("doc_id", F.xxhash64("text").alias("class_id"), "text")
 
 
-def repeated_runs(documents: DataFrame, span: int = SPAN, gram: int = GRAM) -> DataFrame:
-    """(class_id, start, h1, h2): every run of ``span`` characters whose marker other classes have as well."""
+def repeated_runs(documents: DataFrame, span: int = SPAN, gram: int = GRAM, filter_markers: int = FILTER_MARKERS) -> DataFrame:
+    """(class_id, start, h1, h2): every run of ``span`` characters whose marker other classes have as well.
+
+    A class may come more than once, from several of its copies.  Some runs that
+    only one class has may be among them.
+    """
     if not 0 < gram < span:
         raise ValueError("gram must be shorter than span")
     texts = text_classes(documents)
-    marked = materialise(texts.select("class_id", "text").mapInArrow(_markers(span, gram), "class_id bigint, markers array<bigint>"), "markers")
+    marked = texts.select("class_id", "text").mapInArrow(_markers(span, gram), "class_id bigint, markers array<bigint>")
     cells = marked.select("class_id", F.explode("markers").alias("marker"))
     ends = cells.groupBy("marker").agg(F.min("class_id").alias("lo"), F.max("class_id").alias("hi"))
-    repeated = ends.where(F.col("lo") != F.col("hi")).select("marker")
-    # one document stands for its class; the small table is written first, so that its true size decides the join
+    repeated = materialise(ends.where(F.col("lo") != F.col("hi")).select("marker"), "repeated")
+    if is_small(repeated, filter_markers):
+        bitmap = _bitmap(documents.sparkSession, repeated)
+        return texts.select("class_id", "text").mapInArrow(_filtered_runs(span, gram, bitmap), "class_id bigint, start bigint, h1 bigint, h2 bigint")
+    # one document stands for its class
     mine = cells.join(repeated, "marker", "left_semi").groupBy("class_id").agg(F.collect_set("marker").alias("markers"))
     stands = texts.groupBy("class_id").agg(F.min("doc_id").alias("doc_id"))
     chosen = materialise(mine.join(stands, "class_id"), "chosen")
@@ -162,14 +211,15 @@ def class_links(runs: DataFrame) -> DataFrame:
     """(class_a, class_b): the pairs of classes that share a run; a < b.
 
     Runs held by the same set of classes give the same pairs, so only one run of
-    each such set is expanded: sets are told apart by their size and two sums of
+    each such set is expanded: sets are told apart by their size and a sum of
     hashes, which are aggregated before they are shuffled.
     """
     holders = runs.select("h1", "h2", "class_id").distinct()
-    as_number = lambda salt: F.sum(F.pmod(F.xxhash64(F.lit(salt), F.col("class_id")), F.lit(1 << 40)))
-    sets = holders.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), as_number(1).alias("s1"), as_number(2).alias("s2")).where("n > 1")
-    one = sets.groupBy("n", "s1", "s2").agg(F.min(F.struct("h1", "h2")).alias("h")).select("h.h1", "h.h2")
-    picked = holders.join(one, ["h1", "h2"])
+    mark = F.sum(F.shiftright(F.xxhash64("class_id"), 20))
+    sets = holders.groupBy("h1", "h2").agg(F.count(F.lit(1)).cast("int").alias("n"), mark.alias("s")).where("n > 1")
+    one = materialise(sets.groupBy("n", "s").agg(F.min(F.struct("h1", "h2")).alias("h")).select("h.h1", "h.h2"), "one")
+    few = F.broadcast(one) if is_small(one, SENT_ROWS) else one
+    picked = materialise(runs.join(few, ["h1", "h2"]).select("h1", "h2", "class_id").distinct(), "picked")
     a, b = picked.alias("a"), picked.alias("b")
     met = a.join(b, (F.col("a.h1") == F.col("b.h1")) & (F.col("a.h2") == F.col("b.h2")) & (F.col("a.class_id") < F.col("b.class_id")))
     return met.select(F.col("a.class_id").alias("class_a"), F.col("b.class_id").alias("class_b")).distinct()
