@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewatch.operators.nested import decode
+from tidewatch.runtime import materialise
 
 SKETCH = 16
 #: Similarity a rename needs where several fields could be meant.
@@ -179,7 +180,8 @@ def changes(lines: DataFrame) -> DataFrame:
     differs.  ``rehashed``: both files have values of feature_schema_hash and they
     differ.  The first file of a feed has no changes; no lines give no rows.
     """
-    fields = profiles(lines).select("feed", "file_seq", "field_path", "kind", "sketch", "hashes")
+    # as large as the schemas; written once, since the comparison reads it several times
+    fields = materialise(profiles(lines).select("feed", "file_seq", "field_path", "kind", "sketch", "hashes"), "profiles")
     files = lines.where(F.col("feed").isNotNull() & F.col("file_seq").isNotNull()).select("feed", "file_seq").distinct()
     before = F.lag("file_seq").over(Window.partitionBy("feed").orderBy("file_seq"))
     steps = files.select("feed", "file_seq", before.alias("prev_seq")).where(F.col("prev_seq").isNotNull())
@@ -201,6 +203,7 @@ def changes(lines: DataFrame) -> DataFrame:
         *base, "field_path", parent.alias("parent"), F.coalesce("kind", "old_kind").alias("type"), gone.alias("gone"), F.coalesce("sketch", "old_sketch").alias("sketch")
     )
     cell = F.struct(F.col("field_path").alias("path"), "sketch")
+    moved = materialise(moved, "moved")
     groups = (
         moved.groupBy(*base, "parent", "type")
         .agg(

@@ -13,9 +13,9 @@ from tidewatch.functions.entities import project
 from tidewatch.runtime import table
 
 
-def envelope(spark: SparkSession, d: str) -> DataFrame:
+def envelope(spark: SparkSession, d: str, events: DataFrame | None = None) -> DataFrame:
     """(window_id, id, timestamp, source, severity, kind_json, metadata_json) of every row of events."""
-    e = table(spark, d, "events").withColumn("k", F.get_json_object("props", "$.k").cast("int"))
+    e = (table(spark, d, "events") if events is None else events).withColumn("k", F.get_json_object("props", "$.k").cast("int"))
     t, k = F.col("event_type"), F.col("k")
     of = lambda *pairs: F.coalesce(*[F.when(t == a, b) for a, b in pairs])
     on = lambda types, c: F.when(t.isin(*types), c)

@@ -9,7 +9,7 @@ from tidewatch import config
 from tidewatch.functions.entities import normalised_delta
 from tidewatch.operators import attack, campaigns, graph, metrics, psi, ranking, reputation
 from tidewatch.plans.adapter import ENT, EV, NODES, REL, envelope, projected
-from tidewatch.runtime import table
+from tidewatch.runtime import materialise, table
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -452,3 +452,67 @@ def interval_correlation(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "events")
     side = lambda t, n: e.where(F.col("event_type") == t).select(F.col("event_id").alias(n), F.unix_micros(F.col("ts").cast("timestamp")).alias("at"))
     return interval_join(side("signup", "first_id"), side("purchase", "second_id"), "at", 500_000).select("first_id", "second_id")
+
+
+def _model():
+    from tidewatch.model.nn import Model, Spec
+
+    return Model(Spec(half_life=HALF_LIFE), seed=7)
+
+
+@query()
+def finding_probability(spark: SparkSession, d: str) -> DataFrame:
+    """A finding for every day, by untrained weights; no SQL, since a model scores."""
+    from tidewatch.operators.score import findings
+
+    return findings(projected(spark, d), _model(), rules=["host:"]).drop("scored_at")
+
+
+@query()
+def node_attributions(spark: SparkSession, d: str) -> DataFrame:
+    """Logits and attributions of every entity of every day."""
+    from tidewatch.operators.score import node_scores
+
+    return node_scores(materialise(projected(spark, d), "projected"), _model())
+
+
+@query()
+def stream_finding(spark: SparkSession, d: str) -> DataFrame:
+    """The events table as a stream, each day a keyed stream; the last finding and all evictions of each."""
+    from tidewatch.runtime import scratch_path
+    from tidewatch.streaming.scorer import OUTPUT, score_stream
+
+    provider = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(provider, None)
+    spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        schema = table(spark, d, "events").schema
+        source = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
+        events = envelope(spark, d, source).withColumnRenamed("window_id", "stream_id")
+        out, state = scratch_path(spark, "stream-out"), scratch_path(spark, "stream-state")
+        run = score_stream(events, _model(), max_nodes=MAX_NODES).writeStream.format("parquet").option("path", out).option("checkpointLocation", state)
+        run.trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.unset(provider) if before is None else spark.conf.set(provider, before)
+    return spark.read.schema(OUTPUT).parquet(out)
+
+
+@query()
+def simulated_windows(spark: SparkSession, d: str) -> DataFrame:
+    """Both labels of every scenario for as many seeds as there are suppliers."""
+    from tidewatch.sources.simulator import SCENARIOS, simulated_events
+
+    seeds = table(spark, d, "supplier").select(F.col("s_suppkey").alias("seed"))
+    grid = seeds.select("seed", F.explode(F.array(F.lit(0), F.lit(1))).alias("label")).select("label", "seed", F.explode(F.array(*[F.lit(s) for s in SCENARIOS])).alias("scenario"))
+    return simulated_events(spark, grid)
+
+
+@query()
+def idr_projection(spark: SparkSession, d: str) -> DataFrame:
+    """Entities, relations and features of the events of labeled_windows."""
+    from tidewatch.functions.entities import project
+    from tidewatch.operators.nested import exploded_events
+
+    e = exploded_events(table(spark, d, "labeled_windows"))
+    events = e.select("window_id", "event_pos", "id", "source", F.upper("severity").alias("severity"), F.col("kind").alias("kind_json"), F.coalesce("metadata", F.lit("{}")).alias("metadata_json"))
+    return project(events)
