@@ -33,21 +33,20 @@ def quotas(weights: np.ndarray, limits: np.ndarray, wanted: int) -> np.ndarray:
 
     What a source cannot take goes to the others in proportion to their weights.
     """
-    got = np.zeros(len(weights), dtype=np.int64)
-    open_ = (weights > 0) & (limits > 0)
-    left = wanted
-    while left > 0 and open_.any():
-        exact = np.where(open_, weights, 0.0) / weights[open_].sum() * left
-        give = np.minimum(np.floor(exact).astype(np.int64), limits - got)
-        if not give.any():  # fewer than one each: by the largest remainder
-            for i in np.argsort(-exact, kind="stable"):
-                if left and open_[i]:
-                    got[i] += 1
-                    left -= 1
-        else:
-            got += give
-            left -= int(give.sum())
-        open_ &= got < limits
+    open_, exact = (weights > 0) & (limits > 0), np.zeros(len(weights))
+    while open_.any():  # whoever is over its limit is set to it, and the rest shared again
+        left = max(wanted - exact[~open_].sum(), 0.0)
+        share = np.where(open_, weights, 0.0) / weights[open_].sum() * left
+        over = open_ & (share >= limits)
+        if not over.any():
+            exact[open_] = share[open_]
+            break
+        exact[over] = limits[over]
+        open_ &= ~over
+    got = np.floor(exact + 1e-9).astype(np.int64)
+    missing = min(wanted, int(limits[weights > 0].sum())) - int(got.sum())
+    for i in [i for i in np.argsort(got - exact, kind="stable") if weights[i] > 0 and got[i] < limits[i]][: max(missing, 0)]:
+        got[i] += 1
     return got
 
 
