@@ -44,6 +44,11 @@ EPOCH_LOW, EPOCH_HIGH = 978_307_200, 4_133_980_800
 DAY_US = 86_400_000_000
 
 
+def known_zones() -> set[str]:
+    """The zone names that are read: area and place, and UTC; bare abbreviations are read as offsets."""
+    return {z for z in zoneinfo.available_timezones() if "/" in z} - {"America/Coyhaique"} | {"UTC"}
+
+
 def _days(year: Column, month: Column, day: Column) -> Column:
     """Days since 1970-01-01 of a proleptic Gregorian date, in integer arithmetic that cannot fail."""
     y = F.when(month <= 2, year - 1).otherwise(year)
@@ -152,7 +157,7 @@ def with_instant(
         .when(scaled(1_000_000), n.cast("long"))
         .when(scaled(1_000_000_000), F.floor(n / 1000).cast("long"))
     )
-    known = zoneinfo.available_timezones() - {"Factory", "localtime", "posixrules"}
+    known = known_zones()
     names = {k.upper(): k for k in known}
     zone_col = F.col(f"`{zone}`") if zone else F.lit(None).cast("string")
     listed = F.expr(f"`{zone}` IN ({', '.join(map(repr, sorted(known)))})") if zone else F.lit(False)

@@ -41,6 +41,8 @@ def close_bits(bits: int, reach: int) -> int:
 
 def runs_of(positions: np.ndarray, reach: int) -> tuple[np.ndarray, np.ndarray]:
     """First and last position of each run of the closed bitmap of sorted ``positions``."""
+    if reach < 0:  # a gap of nothing joins nothing, not even neighbours
+        return positions, positions
     base, size = int(positions[0]), int(positions[-1]) - int(positions[0]) + 1
     flat = np.zeros(size, np.uint8)
     flat[positions - base] = 1
