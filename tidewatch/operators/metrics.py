@@ -51,13 +51,13 @@ def roc_auc(points: DataFrame) -> DataFrame:
 
 
 def average_precision(points: DataFrame) -> DataFrame:
-    """(pr_auc): sum over distinct thresholds of the gain in recall times the precision."""
-    return points.agg(F.sum(F.col("pos") / F.col("all_pos") * F.col("tp") / (F.col("tp") + F.col("fp"))).alias("pr_auc"))
+    """(pr_auc): sum over distinct thresholds of the gain in recall times the precision; null without positives."""
+    return points.agg(F.sum(_rate(F.col("pos"), F.col("all_pos")) * F.col("tp") / (F.col("tp") + F.col("fp"))).alias("pr_auc"))
 
 
 def recall_at_fpr(points: DataFrame, cap: float) -> DataFrame:
     """(recall): highest recall at a false positive rate of at most ``cap``; 0 without positives, 1 without negatives."""
-    best = F.max(F.when(F.col("fp") <= F.lit(cap) * F.col("all_neg"), F.col("tp") / F.col("all_pos")))
+    best = F.max(F.when(F.col("fp") <= F.lit(cap) * F.col("all_neg"), _rate(F.col("tp"), F.col("all_pos"))))
     got = F.when(F.max("all_pos") == 0, 0.0).when(F.max("all_neg") == 0, 1.0).otherwise(F.coalesce(best, F.lit(0.0)))
     return points.agg(got.alias("recall"))
 
