@@ -160,7 +160,8 @@ def mix_counts(counts: DataFrame, targets: DataFrame, block: int = BLOCK, part:
     plan = spark.createDataFrame(
         [(k, [int(x) for x in c], [int(x) for x in starts[k]]) for k, c in enumerate(drawn)], "shard bigint, counts array<bigint>, starts array<bigint>"
     ).repartition(max(1, min(len(drawn), 10_000)), "shard")
-    slots = plan.mapInPandas(_slots(sources, blocks.tolist(), seed), _SLOTS)
+    # The planner takes generated rows to be as few as those of the plan and would broadcast them.
+    slots = plan.mapInPandas(_slots(sources, blocks.tolist(), seed), _SLOTS).hint("merge")
     return slots.join(segments(own, block), ["source", "block_no"]).select("shard", "slot", "source", "block_no", "use_no", "doc_id", "token_start", "n_tokens")
 
 
