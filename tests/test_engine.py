@@ -89,6 +89,23 @@ def test_node_scores_agree_with_plain_python(spark, windows, mode):
         assert abs(rows[0]["graph_logit"] - top.value[0]) < 1e-6
 
 
+def test_every_entity_of_a_large_window_is_scored(spark):
+    # more nodes than the 2,048 that were once kept
+    events = [{"id": f"e{i:04d}", "timestamp": T0 + dt.timedelta(seconds=i), "source": "network_zeek", "severity": "HIGH", "kind": {"type": "socket_lineage", "user": f"u{i // 3}"}, "metadata": {"host": f"h{i % 1600}"}} for i in range(3000)]
+    model = Model(Spec(half_life=600.0), seed=5).freeze()
+    t = window_tensors(events, 24, "time_aware", 600.0)
+    args = t.x[None], t.mask[None], t.adjacency[None], t.gaps[None]
+    top, logits = model.forward(*args)
+    rows = score.node_scores(project(_frame(spark, {"w": events})), model).orderBy("node_index").collect()
+    assert len(t.nodes) > 2048 and [r["entity"] for r in rows] == t.nodes
+    assert np.allclose([r["logit"] for r in rows], logits.value[0], atol=1e-6) and abs(rows[0]["graph_logit"] - top.value[0]) < 1e-6
+    less = t.x.copy()
+    shown = [f for f in range(less.shape[2]) if less[..., f].any()]
+    less[..., shown[0]] = 0.0
+    fall = logits.value[0] - model.forward(less[None], *args[1:])[1].value[0]
+    assert np.allclose([r["attribution"][shown[0]] for r in rows], fall, atol=1e-6)
+
+
 def test_findings(spark, windows):
     data = train.simulated(20, 7)
     model = Model(Spec(half_life=3600.0), seed=2)

@@ -162,6 +162,29 @@ def masked_max(x: Var, keep: np.ndarray, axis: int) -> Var:
     return Var(np.where(real, top, 0.0), ((x, pull),))
 
 
+class Pairs:
+    """A square matrix [n, n] as its filled cells (src, dst, weight); ``@`` takes node states [b, n, h].
+
+    Time and memory go with the cells, not with n * n.
+    """
+
+    def __init__(self, n: int, src, dst, weight):
+        order = np.argsort(src, kind="stable")
+        self.n, self.src, self.dst, self.weight = n, np.asarray(src)[order], np.asarray(dst)[order], np.asarray(weight, dtype=float)[order]
+        self.rows, self.starts = np.unique(self.src, return_index=True)
+
+    def _sums(self, values):
+        out = np.zeros(values.shape)
+        if len(self.rows):
+            for i, part in enumerate(values):  # one batch at a time: the expanded cells are the largest array here
+                out[i, self.rows] = np.add.reduceat(self.weight[:, None] * part[self.dst], self.starts, axis=0)
+        return out
+
+    def __matmul__(self, nodes: Var) -> Var:
+        turned = Pairs(self.n, self.dst, self.src, self.weight) if nodes.wants else None
+        return Var(self._sums(nodes.value), ((nodes, lambda g: turned._sums(g)),))
+
+
 @dataclass(frozen=True)
 class Spec:
     hidden: int = 24
@@ -276,10 +299,12 @@ class Model:
         return self._norm("seq", output)
 
     def relate(self, nodes, active, adjacency):
-        """(graph logits [b], node logits [b, n]) of node states [b, n, h], active [b, n], adjacency [b, n, n]."""
+        """(graph logits [b], node logits [b, n]) of node states [b, n, h], active [b, n], adjacency [b, n, n] or ``Pairs``."""
+        if not isinstance(adjacency, Pairs):
+            adjacency = as_var(adjacency)
         if self.spec.use_graph:
             for i in range(2):
-                near = as_var(adjacency) @ nodes
+                near = adjacency @ nodes
                 nodes = self._norm(f"graph{i}", nodes + (self._lin(f"self{i}", nodes) + self._lin(f"near{i}", near)).gelu())
         on = active[..., None]
         mean = (nodes * on).sum(1) * (1 / np.maximum(on.sum(1), 1))
@@ -340,17 +365,3 @@ class Model:
         model.temperature, model.bias = manifest["calibration"]["temperature"], manifest["calibration"]["bias"]
         model.feature_stats, model.version = manifest["feature_stats"], manifest["model_version"]
         return model
-
-
-def attributions(model: Model, x, mask, adjacency, gaps, base) -> np.ndarray:
-    """[n, f]: how much each node's logit falls when a feature is zeroed in the whole graph."""
-    shown = [f for f in range(x.shape[3]) if x[..., f].any()]
-    out = np.zeros((x.shape[1], x.shape[3]))
-    for at in range(0, len(shown), 8):  # some features at a time, side by side
-        part = shown[at : at + 8]
-        hidden = np.repeat(x, len(part), 0)
-        for i, f in enumerate(part):
-            hidden[i, ..., f] = 0.0
-        same = [np.repeat(a, len(part), 0) for a in (mask, adjacency, gaps)]
-        out[:, part] = (base - model.forward(hidden, *same)[1].value).T
-    return out

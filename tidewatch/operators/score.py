@@ -1,8 +1,8 @@
 """Findings: windows scored by the model.
 
 The JVM builds histories and the normalised adjacency of all windows; one
-grouped map per window runs the dense model; ranking, evidence, stages and
-drift are relational again.
+grouped map per window runs the model, histories by blocks of nodes and the
+adjacency by its pairs; ranking, evidence, stages and drift are relational again.
 """
 
 from __future__ import annotations
@@ -13,16 +13,26 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch import config
-from tidewatch.model.nn import N_FEATURES, Model, attributions
+from tidewatch.model.nn import N_FEATURES, Model, Pairs, as_var
 from tidewatch.operators import attack, graph, psi, ranking
 from tidewatch.runtime import materialise
 
-#: Nodes of a window that are scored densely; windows with more keep the ones seen last.
-DENSE_NODES = 2048
+#: Nodes whose histories are unfolded into one dense array at a time; bounds memory, not what is scored.
+NODE_BLOCK = 512
 
 _OUT = "window_id string, entity string, node_index int, logit double, graph_logit double, attribution array<double>"
 
 
+def _unfolded(f: pd.Series, gaps: pd.Series, steps: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """x [n, steps, f], mask and gaps [n, steps] of histories, each at the end of its row."""
+    n = len(f)
+    x, mask, since = np.zeros((n, steps, N_FEATURES)), np.zeros((n, steps)), np.zeros((n, steps))
+    for i, (rows, g) in enumerate(zip(f, gaps, strict=True)):
+        k = len(g)
+        x[i, steps - k :], since[i, steps - k :], mask[i, steps - k :] = np.stack(list(rows)), g, 1.0
+    return x, mask, since
+
+
 def _scorer(model: Model, steps: int, explain: bool):
     model = model.freeze()
 
@@ -31,27 +41,39 @@ def _scorer(model: Model, steps: int, explain: bool):
         n = len(nodes)
         if not n:
             return pd.DataFrame(columns=["window_id", "entity", "node_index", "logit", "graph_logit", "attribution"])
-        x, mask, gaps = np.zeros((n, steps, N_FEATURES)), np.zeros((n, steps)), np.zeros((n, steps))
-        for i, (f, g) in enumerate(zip(nodes["f"], nodes["gaps"], strict=True)):
-            k = len(g)
-            x[i, steps - k :], gaps[i, steps - k :], mask[i, steps - k :] = np.stack(list(f)), g, 1.0
-        at = {e: i for i, e in enumerate(nodes["entity"])}
-        adjacency = np.zeros((n, n))
-        adjacency[pairs["src"].map(at), pairs["dst"].map(at)] = pairs["weight"]
-        args = x[None], mask[None], adjacency[None], gaps[None]
-        top, logits = model.forward(*args)
+        states = np.zeros((n, model.spec.hidden))
+        hidden: dict[int, dict[int, np.ndarray]] = {}  # feature -> block -> states without it, where the block has it
+        for at in range(0, n, NODE_BLOCK):
+            block = slice(at, at + NODE_BLOCK)
+            x, mask, gaps = _unfolded(nodes["f"].iloc[block], nodes["gaps"].iloc[block], steps)
+            states[block] = model.encode(x, mask, gaps).value
+            for f in range(N_FEATURES) if explain else ():
+                if x[..., f].any():
+                    less = x.copy()
+                    less[..., f] = 0.0
+                    hidden.setdefault(f, {})[at] = model.encode(less, mask, gaps).value
+        place = pd.Series(range(n), index=nodes["entity"])
+        adjacency = Pairs(n, pairs["src"].map(place).to_numpy(int), pairs["dst"].map(place).to_numpy(int), pairs["weight"].to_numpy(float))
+        active = (nodes["gaps"].map(len).to_numpy() > 0).astype(float)[None]
+        relate = lambda of: model.relate(as_var(of[None]), active, adjacency)
+        top, logits = relate(states)
         base = logits.value[0]
-        why = attributions(model, *args, base) if explain else np.zeros((n, 0))
+        why = np.zeros((n, N_FEATURES if explain else 0))
+        for f, blocks in hidden.items():
+            less = states.copy()
+            for at, own in blocks.items():
+                less[at : at + NODE_BLOCK] = own
+            why[:, f] = base - relate(less)[1].value[0]
         return pd.DataFrame({"window_id": nodes["window_id"], "entity": nodes["entity"], "node_index": nodes["node_index"], "logit": base, "graph_logit": float(top.value[0]), "attribution": list(why)})
 
     return run
 
 
-def node_scores(events: DataFrame, model: Model, steps: int = config.GraphConfig.score_max_steps, explain: bool = True, max_nodes: int = DENSE_NODES) -> DataFrame:
-    """(window_id, entity, node_index, logit, graph_logit, attribution) of projected events."""
+def node_scores(events: DataFrame, model: Model, steps: int = config.GraphConfig.score_max_steps, explain: bool = True) -> DataFrame:
+    """(window_id, entity, node_index, logit, graph_logit, attribution) of projected events; every entity of a window is a node."""
     rows = graph.node_rows(events, steps, model.spec.time_mode)
     # read several times below, and far smaller than the events
-    seen = graph.with_node_index(graph.budget(graph.nodes(graph.mentions(events)), max_nodes).where("kept"))
+    seen = graph.with_node_index(graph.nodes(graph.mentions(events)))
     seen = materialise(seen.select("window_id", "entity", "node_index"), "nodes")
     pairs = graph.decayed(graph.edges(graph.within_nodes(graph.emitted(events), seen)), graph.clock(events).select("window_id", "last_event_ts"), model.spec.half_life)
     pairs = materialise(pairs, "pairs")
