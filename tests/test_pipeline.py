@@ -212,6 +212,12 @@ def test_assignment_is_optimal():
         assert len(pairs) == small and abs(sum(w[i, j] for i, j in pairs) - best) < 1e-9
 
 
+def test_new_field_under_a_renamed_ones_old_name(spark):
+    files = [("events.x", 1, {"a": 1}), ("events.x", 2, {"a_value": 1}), ("events.x", 3, {"a_value": 1, "a": 2}), ("events.x", 4, {"a_value": 3, "a": 4})]
+    rows = {r["line_id"]: r["fields"] for r in drift.unified_lines(spark.createDataFrame(_lines(files), _LANDED)).collect()}
+    assert rows == {0: {"a": "1"}, 1: {"a": "1"}, 2: {"a": "1", "a@3": "2"}, 3: {"a": "3", "a@3": "4"}}
+
+
 def test_unified_tables(spark):
     files = [("findings.x", 1, {"campaign_id": "c", "graph_nodes": 4, "drift": {"m": 1}}), ("findings.x", 2, {"campaign_id": "d", "graphNodes": 5, "extra": "e"}), ("findings.x", 3, {"campaign_id": "e", "GraphNodes": "many"})]
     unified = drift.unified_lines(spark.createDataFrame(_lines(files), _LANDED))

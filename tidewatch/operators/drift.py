@@ -223,14 +223,27 @@ def changes(lines: DataFrame) -> DataFrame:
 
 
 def _chain(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-    """The name under which each field of each file of one feed is unified: that of its first appearance."""
+    """The name under which each field of each file of one feed is unified: that of its first appearance.
+
+    No two fields of a file share one: a newcomer whose name another field of
+    the file is unified under gets ``name@file_seq``.
+    """
     frame = frame.sort_values(["file_seq"])
     known: dict[str, str] = {}
     out = []
     for row in frame.itertuples(index=False):
         pairs = dict(zip(row.renamed_from, row.renamed_to, strict=True))
-        taken = {b: known.pop(a, a) for a, b in pairs.items()}
-        known = {p: taken.get(p) or known.get(p, p) for p in row.paths}
+        names = {b: known[a] for a, b in pairs.items()}
+        names |= {p: known[p] for p in row.paths if p in known and p not in names}
+        used = set(names.values())
+        for p in row.paths:
+            if p not in names:
+                name = p if p not in used else f"{p}@{row.file_seq}"
+                while name in used:  # a field may itself be called so
+                    name += "@"
+                names[p] = name
+                used.add(name)
+        known = names
         out.extend((key[0], row.file_seq, p, c) for p, c in known.items())
     return pd.DataFrame(out, columns=["feed", "file_seq", "field_path", "canonical_path"]).astype({"file_seq": "int32"})
 
