@@ -7,6 +7,7 @@ import random
 
 import brute
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -218,6 +219,29 @@ def test_new_field_under_a_renamed_ones_old_name(spark):
     assert rows == {0: {"a": "1"}, 1: {"a": "1"}, 2: {"a": "1", "a@3": "2"}, 3: {"a": "3", "a@3": "4"}}
 
 
+def _names(*files):
+    rows = [("f", i + 1, sorted(paths), list(renames), list(renames.values())) for i, (paths, renames) in enumerate(files)]
+    out = drift._chain(("f",), pd.DataFrame(rows, columns=["feed", "file_seq", "paths", "renamed_from", "renamed_to"]))
+    return [dict(zip(g["field_path"], g["canonical_path"], strict=True)) for _, g in out.groupby("file_seq")]
+
+
+def test_absent_fields_keep_their_names():
+    got = _names(("ax", {}), ("bx", {"a": "b"}), ("x", {}), ("bx", {}), ("abx", {}))
+    assert got == [{"a": "a", "x": "x"}, {"b": "a", "x": "x"}, {"x": "x"}, {"b": "a", "x": "x"}, {"a": "a@5", "b": "a", "x": "x"}]
+    # back under its first name, then a stranger under the name it had in between
+    assert _names(("ax", {}), ("bx", {"a": "b"}), ("x", {}), ("ax", {}), ("abx", {}))[3:] == [{"a": "a", "x": "x"}, {"a": "a", "b": "b", "x": "x"}]
+    # a rename to the path of an absent field goes before the memory of that path
+    assert _names(("ac", {}), ("c", {}), ("a", {"c": "a"}))[2] == {"a": "c"}
+    rng = np.random.default_rng(3)
+    files, before = [], set()
+    for _ in range(300):
+        paths = {p for p in "abcdefg" if rng.random() < 0.6} or {"a"}
+        gone, came = sorted(before - paths), sorted(paths - before)
+        files.append((paths, dict(list(zip(gone, came, strict=False))[: int(rng.integers(0, 3))])))
+        before = paths
+    assert all(len(set(names.values())) == len(names) for names in _names(*files))
+
+
 def test_unified_tables(spark):
     files = [("findings.x", 1, {"campaign_id": "c", "graph_nodes": 4, "drift": {"m": 1}}), ("findings.x", 2, {"campaign_id": "d", "graphNodes": 5, "extra": "e"}), ("findings.x", 3, {"campaign_id": "e", "GraphNodes": "many"})]
     unified = drift.unified_lines(spark.createDataFrame(_lines(files), _LANDED))

@@ -225,25 +225,31 @@ def changes(lines: DataFrame) -> DataFrame:
 def _chain(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
     """The name under which each field of each file of one feed is unified: that of its first appearance.
 
-    No two fields of a file share one: a newcomer whose name another field of
-    the file is unified under gets ``name@file_seq``.
+    A field missing from some files keeps its name for when it comes back.  No two
+    fields of a file share one: a newcomer whose name another field of the file is
+    unified under gets ``name@file_seq``.  If only an absent field is unified under
+    it, the newcomer is taken for that field under its first name.
     """
     frame = frame.sort_values(["file_seq"])
     known: dict[str, str] = {}
+    absent: dict[str, str] = {}
     out = []
     for row in frame.itertuples(index=False):
         pairs = dict(zip(row.renamed_from, row.renamed_to, strict=True))
         names = {b: known[a] for a, b in pairs.items()}
-        names |= {p: known[p] for p in row.paths if p in known and p not in names}
+        absent |= {p: c for p, c in known.items() if p not in pairs}
+        # of the present paths, what they were called when last seen; a renamed field's name goes before its new path's
+        names |= {p: absent[p] for p in row.paths if p in absent and p not in names}
         used = set(names.values())
         for p in row.paths:
             if p not in names:
                 name = p if p not in used else f"{p}@{row.file_seq}"
-                while name in used:  # a field may itself be called so
+                while name in used or name != p and name in absent.values():  # a field may itself be called so
                     name += "@"
                 names[p] = name
                 used.add(name)
         known = names
+        absent = {p: c for p, c in absent.items() if p not in known and c not in used}
         out.extend((key[0], row.file_seq, p, c) for p, c in known.items())
     return pd.DataFrame(out, columns=["feed", "file_seq", "field_path", "canonical_path"]).astype({"file_seq": "int32"})
 
