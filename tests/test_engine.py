@@ -15,7 +15,8 @@ from tidewatch import config
 from tidewatch.functions.entities import project
 from tidewatch.model import train
 from tidewatch.model.nn import VARIANTS, Model, Spec
-from tidewatch.model.window import project_event, window_tensors
+from tidewatch.functions.rules import read_event
+from tidewatch.model.window import window_tensors
 from tidewatch.operators import attack, campaigns, correlate, graph, metrics, psi, ranking, reputation, score
 from tidewatch.sources import readers, sinks
 from tidewatch.sources.simulator import SCENARIOS, simulate, simulated_events
@@ -54,7 +55,7 @@ def test_projection_agrees_with_plain_python(spark):
     events = _edge_events() + simulate(1, 3) + simulate(0, 4, "lateral_movement")
     got = {r["id"]: r for r in project(_frame(spark, {"w": events})).collect()}
     for e in events:
-        want, r = project_event(e), got[e["id"]]
+        want, r = read_event(e), got[e["id"]]
         assert r["entities"] == want.entities
         assert [tuple(x) for x in r["relations"]] == want.relations
         assert np.allclose([r[n] for n in config.FEATURES], want.features), e

@@ -1,7 +1,9 @@
 """Entities, relations and features of events, as column expressions over their JSON text.
 
-Whether a key is present, is not null, or is truthy are three different things;
-each rule below says which it takes.
+A kind is parsed once, to a map of variants; a second map holds form, text and
+truth of each member, and all rules read these.  Whether a key is
+present, is not null, or is truthy are three different things; the tables in
+``functions.rules`` say which a rule takes.
 """
 
 from __future__ import annotations
@@ -13,10 +15,12 @@ from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import IntegerType
 
 from tidewatch import config
+from tidewatch.functions import rules
 from tidewatch.functions.events import UNKNOWN_HOST
 
-DOC = "_tw_doc"
-KIND = "kind_json"
+MEMBERS = "_tw_members"
+READ = "_tw_read"
+META = "_tw_meta"
 
 
 def lookup(table: dict, key: Column, default) -> Column:
@@ -37,124 +41,127 @@ def kind_bucket(kind_type: Column, any_kind: bool = False) -> Column:
     return F.coalesce(found, _bucket(kind_type)) if any_kind else found
 
 
-def _form(key: str) -> Column:
-    """JSON type of a key's value: STRING, BOOLEAN, VOID, a number's, ARRAY<..>, OBJECT<..>; null if absent."""
-    return F.schema_of_variant(F.try_variant_get(F.col(DOC), f"$.{key}", "variant"))
+def kept_apart(value: Column) -> Column:
+    """The value, in a form the optimizer evaluates once per row where it is defined.
+
+    The condition always holds.  Without it a projection is merged into the one
+    above, where a lambda evaluates it once per element, and is copied into the
+    filters inferred from an explode.
+    """
+    return F.when(F.spark_partition_id() >= 0, value)
 
 
-def text(key: str) -> Column:
-    """The value as its token: strings unquoted, numbers as written, booleans True and False."""
-    raw = F.get_json_object(KIND, f"$.{key}")
-    return F.when(_form(key) == "BOOLEAN", F.initcap(raw)).otherwise(raw)
+def members(text: Column) -> Column:
+    """The members of a JSON object as a map of variants; empty for text that is none."""
+    found = F.try_variant_get(F.try_parse_json(text), "$", "map<string,variant>")
+    return F.coalesce(found, F.create_map().cast("map<string,variant>"))
 
 
-def not_null(key: str) -> Column:
-    return F.get_json_object(KIND, f"$.{key}").isNotNull()
+def rendered(value: Column, form: Column) -> Column:
+    """The value as printed: strings unquoted, null as None, booleans capitalised, whole fractions with .0."""
+    raw = value.cast("string")
+    whole = form.rlike(r"^DECIMAL\(([1-9]|1[0-8]),0\)$")
+    return F.when(form == "VOID", "None").when(form == "BOOLEAN", F.when(raw == "true", "True").otherwise("False")).when(whole, F.concat(raw, F.lit(".0"))).otherwise(raw)
 
 
-def truthy(key: str) -> Column:
+def is_truthy(value: Column, form: Column) -> Column:
     """Whether the value counts as true: not absent, null, false, zero, or empty."""
-    raw, form = F.get_json_object(KIND, f"$.{key}"), _form(key)
-    number = raw.try_cast("double") != 0
+    raw = value.cast("string")
     found = (
         F.when(form == "STRING", raw != "")
-        .when(form == "BOOLEAN", raw == "true")
         .when(form == "VOID", False)
-        .when(form.startswith("ARRAY"), F.json_array_length(raw) > 0)
-        .when(form.startswith("OBJECT"), F.size(F.json_object_keys(raw)) > 0)
-        .otherwise(number)
+        .when(form == "BOOLEAN", raw == "true")
+        .when(form.startswith("ARRAY") | form.startswith("OBJECT"), ~raw.isin("[]", "{}"))
+        .otherwise(raw.try_cast("double") != 0)
     )
     return F.coalesce(found, F.lit(False))
 
 
+def read_members(held: Column) -> Column:
+    """form, text and truth of every member of a map of variants, by key."""
+    formed = F.transform(F.map_values(held), lambda v: F.struct(v.alias("v"), F.schema_of_variant(v).alias("form")))
+    read = F.transform(formed, lambda x: F.struct(x["form"].alias("form"), rendered(x["v"], x["form"]).alias("text"), is_truthy(x["v"], x["form"]).alias("truthy")))
+    return F.map_from_arrays(F.map_keys(held), read)
+
+
+def _read(key: str) -> Column:
+    return F.try_element_at(F.col(READ), F.lit(key))
+
+
+def given(key: str) -> Column:
+    return _read(key)["form"] != "VOID"
+
+
+def truthy(*keys: str) -> Column:
+    hit = F.lit(False)
+    for key in keys:
+        hit = hit | F.coalesce(_read(key)["truthy"], F.lit(False))
+    return hit
+
+
 def present(*keys: str) -> Column:
-    return F.arrays_overlap("_tw_keys", F.array(*[F.lit(k) for k in keys]))
+    return F.arrays_overlap(F.map_keys(MEMBERS), F.array(*[F.lit(k) for k in keys]))
+
+
+_FOLDS = {"plain": lambda c: c, "lower": F.lower, "domain": lambda c: F.rtrim(F.lower(c), F.lit("."))}
 
 
-def _list(*items: Column) -> Column:
-    return F.array_distinct(F.array_compact(F.array(*items)))
+def _part(part: rules.Part) -> Column:
+    """The entities of one sort: an array, distinct in order of appearance."""
+    head = F.concat(F.lit(f"{part.name}:"), F.col("host"), F.lit(":")) if part.own else F.lit(f"{part.name}:")
+    shape = lambda c: F.concat(head, _FOLDS[part.fold](c))
+    spots = F.array(*[_read(k) for k in part.keys])
+    counts = (lambda x: x["form"] != "VOID") if part.counts == "given" else (lambda x: x["truthy"])
+    if part.pick == "first":
+        best = F.coalesce(F.get(F.filter(spots, lambda x: x["truthy"]), F.lit(0)), _read(part.keys[-1]))
+        spots = F.array(best)
+    found = F.transform(F.filter(spots, lambda x: F.coalesce(counts(x), F.lit(False))), lambda x: shape(x["text"]))
+    for key in part.lists:
+        listed = F.try_variant_get(F.try_element_at(F.col(MEMBERS), F.lit(key)), "$", "array<variant>")
+        texts = F.transform(F.coalesce(listed, F.array().cast("array<variant>")), lambda v: rendered(v, F.schema_of_variant(v)))
+        found = F.concat(found, F.transform(texts, lambda t: F.concat(head, F.coalesce(t, F.lit("None")))))
+    return F.array_distinct(found)
 
 
 def with_parts(events: DataFrame) -> DataFrame:
     """Add the parts entities and relations are made of.
 
-    ``events`` has kind_json and metadata_json.  Added: kind_type, host, process
-    (null if none) and the arrays hashes, ips, prefixes, asns, domains, devices,
-    users, sessions, clouds, each distinct in order of appearance, all with their
-    entity prefix.  Unreadable kinds are treated as empty objects.
+    ``events`` has kind_json and metadata_json.  Added: kind_type, host and one
+    array per sort of entity (``_tw_<sort>``), each distinct in order of
+    appearance, with its prefix.  Kinds and metadata that are no readable object
+    are treated as empty ones.
     """
-    kept = events.columns
-    base = events.withColumn(KIND, F.when(F.try_parse_json(KIND).isNotNull(), F.col(KIND)).otherwise("{}"))
-    base = base.withColumns({
-        DOC: F.try_parse_json(KIND),
-        "_tw_meta": F.try_parse_json("metadata_json"),
-        "_tw_keys": F.coalesce(F.json_object_keys(KIND), F.array().cast("array<string>")),
-    })
-    meta = lambda k: F.try_variant_get("_tw_meta", f"$.{k}", "string")
-    full = lambda c: F.when((c != "") & (c != "false") & (c != "0"), c)
-    host = F.coalesce(full(meta("host")), full(meta("hostname")), F.lit(UNKNOWN_HOST))
-    base = base.withColumns({"host": host, "kind_type": F.coalesce(F.get_json_object(KIND, "$.type"), F.lit("unknown"))})
-    with_prefix = lambda p, c: F.concat(F.lit(p + ":"), c)
-    of = lambda p, keys, test, shape=lambda c: c: [F.when(test(k), with_prefix(p, shape(text(k)))) for k in keys]
-    scoped = lambda p, c: F.concat(F.lit(p + ":"), F.col("host"), F.lit(":"), c)
-    # an or-chain gives the first truthy value, else the last one
-    pid = F.when(truthy("pid"), text("pid")).otherwise(text("tgid"))
-    session = F.when(truthy("session_id"), text("session_id")).otherwise(text("sid"))
-    user = F.when(truthy("user"), text("user")).when(truthy("username"), text("username")).when(truthy("account"), text("account"))
-    ip_keys = ["src_ip", "dst_ip", "forward_ip", "reversed_ip", "ntp_server", "gateway_ip"]
-    listed = F.when(_form("dest_ips").startswith("ARRAY"), F.from_json(F.get_json_object(KIND, "$.dest_ips"), "array<string>"))
-    more = F.transform(F.coalesce(listed, F.array().cast("array<string>")), lambda x: F.concat(F.lit("ip:"), F.coalesce(x, F.lit("None"))))
-    trim = lambda c: F.rtrim(F.lower(c), F.lit("."))
-    return base.select(
-        *kept if "kind_type" not in kept else [c for c in kept if c not in ("kind_type", "host")],
-        "kind_type", "host", DOC, "_tw_keys",
-        scoped("process", pid).alias("process"),
-        _list(*of("hash", ["exe_sha256", "sha256"], truthy, F.lower)).alias("hashes"),
-        F.array_distinct(F.concat(_list(*of("ip", ip_keys, truthy)), more)).alias("ips"),
-        _list(*of("prefix", ["prefix"], truthy)).alias("prefixes"),
-        _list(*of("asn", ["observed_origin_asn", "legitimate_origin_asn"], not_null)).alias("asns"),
-        _list(*of("domain", ["domain", "ptr_query"], truthy, trim)).alias("domains"),
-        _list(F.when(truthy("device"), scoped("device", text("device")))).alias("devices"),
-        _list(with_prefix("user", F.lower(user))).alias("users"),
-        _list(scoped("session", session)).alias("sessions"),
-        _list(*of("cloud", ["cloud_resource", "arn"], truthy, F.lower)).alias("clouds"),
-    )
-
-
-PARTS = [DOC, "_tw_keys", "process", "hashes", "ips", "prefixes", "asns", "domains", "devices", "users", "sessions", "clouds"]
+    kept = [c for c in events.columns if c not in ("kind_type", "host")]
+    step = events.select(*kept, kept_apart(members(F.col("kind_json"))).alias(MEMBERS), kept_apart(members(F.col("metadata_json"))).alias(META))
+    step = step.select(*kept, MEMBERS, kept_apart(read_members(F.col(MEMBERS))).alias(READ), kept_apart(read_members(F.col(META))).alias(META))
+    of = [F.try_element_at(F.col(META), F.lit(k)) for k in ("host", "hostname")]
+    named = F.coalesce(*[F.when(x["truthy"], x["text"]) for x in of])
+    step = step.select(*kept, MEMBERS, READ, F.coalesce(named, F.lit(UNKNOWN_HOST)).alias("host"), F.coalesce(_read("type")["text"], F.lit("unknown")).alias("kind_type"))
+    return step.select("*", *[kept_apart(_part(p)).alias(f"_tw_{p.name}") for p in rules.PARTS])
 
 
 def entities() -> Column:
     """The event's entities, host first, distinct in order."""
     host = F.array(F.concat(F.lit("host:"), F.col("host")))
-    lists = ["hashes", "ips", "prefixes", "asns", "domains", "devices", "users", "sessions", "clouds"]
-    return F.array_distinct(F.concat(host, _list(F.col("process")), *[F.col(x) for x in lists]))
+    return F.array_distinct(F.concat(host, *[F.col(f"_tw_{p.name}") for p in rules.PARTS]))
 
 
 def relations() -> Column:
     """The event's relations as an array of (left, right, relation), in order of derivation."""
     host = F.concat(F.lit("host:"), F.col("host"))
-    process = _list(F.col("process"))
-    anchor = F.array(F.coalesce(F.col("process"), host))
-    edge = lambda a, b, name: F.struct(a.alias("left"), b.alias("right"), F.lit(name).alias("relation"))
-    pairs = lambda a, b, name: F.flatten(F.transform(a, lambda x: F.transform(b, lambda y: edge(x, y, name))))
-    hosts, ips = F.array(host), F.col("ips")
-    return F.concat(
-        pairs(hosts, process, "executes"),
-        pairs(anchor, F.col("hashes"), "identified_by"),
-        pairs(anchor, ips, "connects_to"),
-        F.flatten(F.transform("prefixes", lambda p: F.concat(
-            F.transform(ips, lambda i: edge(i, p, "belongs_to")), F.transform("asns", lambda a: edge(p, a, "originated_by"))))),
-        F.flatten(F.transform("domains", lambda d: F.concat(
-            F.transform(ips, lambda i: edge(d, i, "resolves_or_connects")), F.array(edge(host, d, "queries_or_visits"))))),
-        pairs(hosts, F.col("devices"), "contains"),
-        F.flatten(F.transform("users", lambda u: F.concat(
-            F.array(edge(u, host, "authenticates_to")),
-            F.transform(process, lambda p: edge(u, p, "owns")),
-            F.transform("clouds", lambda c: edge(u, c, "accesses"))))),
-        F.flatten(F.transform("sessions", lambda s: F.concat(
-            F.array(edge(host, s, "contains")), F.transform(process, lambda p: edge(s, p, "spawns"))))),
-    )
+    sides = {p.name: F.col(f"_tw_{p.name}") for p in rules.PARTS}
+    sides |= {"host": F.array(host), "actor": F.when(F.size("_tw_process") > 0, F.col("_tw_process")).otherwise(F.array(host))}
+
+    def pairs(held: dict[str, Column], left: str, right: str, name: str) -> Column:
+        edge = lambda a, b: F.struct(a.alias("left"), b.alias("right"), F.lit(name).alias("relation"))
+        return F.flatten(F.transform(held[left], lambda a: F.transform(held[right], lambda b: edge(a, b))))
+
+    def block(each: str | None, triples) -> Column:
+        if each is None:
+            return F.concat(*[pairs(sides, *t) for t in triples])
+        return F.flatten(F.transform(sides[each], lambda x: F.concat(*[pairs(sides | {each: F.array(x)}, *t) for t in triples])))
+
+    return F.concat(*[block(each, triples) for each, triples in rules.RELATIONS])
 
 
 def normalised_delta(seconds: Column) -> Column:
@@ -163,45 +170,39 @@ def normalised_delta(seconds: Column) -> Column:
 
 def features(delta_seconds: Column | None = None, any_kind: bool = True) -> dict[str, Column]:
     """The 22 features by name, over the columns of ``with_parts`` plus source and severity."""
-    flag = lambda c: F.coalesce(c, F.lit(False)).cast("double")
     kind, source = F.col("kind_type"), F.col("source")
-    group = (
-        F.when(source == "kernel_ebpf", 0).when(source.isin("network_zeek", "network_suricata"), 1).when(source.startswith("hardware_"), 2).otherwise(3)
-    )
-    bucket = kind_bucket(kind, any_kind)
-    has_user = F.size("users") > 0
-    address = F.exists("_tw_keys", lambda k: k.endswith("_ip") | k.isin("dest_ips", "ntp_server"))
-    production = (kind == "bgp_anomaly") & (F.get_json_object(KIND, "$.kind.kind") == "subprefix_hijack_local_infra")
-    columns = [
-        lookup(config.SEVERITY_WEIGHT, F.upper("severity"), config.SEVERITY_DEFAULT),
-        lookup(config.KIND_PRIOR, kind, config.KIND_PRIOR_DEFAULT),
-        normalised_delta(delta_seconds if delta_seconds is not None else F.lit(0.0)),
-        flag(present("pid", "tgid")),
-        flag((_form("is_signed") == "BOOLEAN") & (F.get_json_object(KIND, "$.is_signed") == "false")),
-        flag(address),
-        flag(present("exe_sha256") | truthy("sha256")),
-        flag(present("domain", "sni", "ptr_query")),
-        flag(present("prefix", "observed_origin_asn", "asn_owner")),
-        flag(kind.isin(*config.HARDWARE_KINDS)),
-        flag(truthy("concurrent_exfil")),
-        flag(production),
-        *[flag(group == i) for i in range(4)],
-        *[flag(bucket == i) for i in range(4)],
-        flag(has_user),
-        flag(has_user & present("dst_ip", "dest_ips", "target_host", "cloud_resource", "arn")),
-    ]
-    return dict(zip(config.FEATURES, columns, strict=True))
+    group = F.try_element_at(F.expr("map(" + ", ".join(f"'{k}', {v}" for k, v in rules.SOURCE_NAMES.items()) + ")"), source)
+    for start, no in rules.SOURCE_STARTS.items():
+        group = F.coalesce(group, F.when(source.startswith(start), no))
+    group = F.coalesce(group, F.lit(len(rules.SOURCE_GROUPS) - 1))
+    bucket, has_user = kind_bucket(kind, any_kind), F.size("_tw_user") > 0
+    inner = F.try_variant_get(F.try_element_at(F.col(MEMBERS), F.lit("kind")), "$.kind", "string")
+    tests = {name: (present(*keys) if keys else F.lit(False)) | truthy(*true) for name, (keys, true) in rules.KEY_FEATURES.items()}
+    tests |= {
+        "unsigned_process": (_read(rules.UNSIGNED_KEY)["form"] == "BOOLEAN") & ~_read(rules.UNSIGNED_KEY)["truthy"],
+        "has_ip": F.exists(F.map_keys(MEMBERS), lambda k: k.endswith(rules.ADDRESS_SUFFIX) | k.isin(*rules.ADDRESS_KEYS)),
+        "has_hardware": kind.isin(*config.HARDWARE_KINDS),
+        "production_bgp_anomaly": (kind == rules.LOCAL_HIJACK[0]) & (inner == rules.LOCAL_HIJACK[1]),
+        "has_user": has_user,
+        "has_identity_pivot": has_user & present(*rules.REACH_KEYS),
+        **{name: group == i for i, name in enumerate(rules.SOURCE_GROUPS)},
+        **{f"kind_hash_{i}": bucket == i for i in range(4)},
+    }
+    values = {
+        "severity": lookup(config.SEVERITY_WEIGHT, F.upper("severity"), config.SEVERITY_DEFAULT),
+        "kind_prior": lookup(config.KIND_PRIOR, kind, config.KIND_PRIOR_DEFAULT),
+        "delta_seconds_log": normalised_delta(delta_seconds if delta_seconds is not None else F.lit(0.0)),
+        **{name: F.coalesce(test, F.lit(False)).cast("double") for name, test in tests.items()},
+    }
+    return {name: values[name] for name in config.FEATURES}
 
 
 def project(events: DataFrame, any_kind: bool = True) -> DataFrame:
     """Add kind_type, host, entities, relations and the 22 features (gap 0) to events.
 
-    One narrow pass; with ``any_kind`` false, kinds outside the table have no
-    kind_hash bit and no Python worker is started.
+    One narrow pass in which each kind is parsed once; with ``any_kind`` false,
+    kinds outside the table have no kind_hash bit and no Python worker is started.
     """
     parts = with_parts(events)
-    # The condition always holds.  It keeps the optimizer from copying these deep expressions into filters it
-    # infers from an explode above, once per reference and level.
-    fixed = lambda c: F.when(F.spark_partition_id() >= 0, c)
-    named = {"entities": fixed(entities()), "relations": fixed(relations())}
-    return parts.withColumns({**named, **features(any_kind=any_kind)}).drop(*PARTS)
+    named = {"entities": kept_apart(entities()), "relations": kept_apart(relations())}
+    return parts.withColumns({**named, **features(any_kind=any_kind)}).drop(MEMBERS, READ, *[f"_tw_{p.name}" for p in rules.PARTS])

@@ -22,16 +22,18 @@ def bin_of(value: Column, edges: list[float]) -> Column:
     return found
 
 
-def long_features(rows: DataFrame, keys: list[str], names: list[str]) -> DataFrame:
-    """(keys, feature, value): one row per feature."""
-    pairs = F.array(*[F.struct(F.lit(n).alias("feature"), F.col(n).cast("double").alias("value")) for n in names])
-    return rows.select(*keys, F.explode(pairs).alias("p")).select(*keys, "p.feature", "p.value")
+def histogram(rows: DataFrame, keys: list[str], names: list[str], edges: list[float] | None = None, weight: str | None = None) -> DataFrame:
+    """(keys, feature, bin, n) of the values inside the edges; empty bins have no row.
 
-
-def histogram(rows: DataFrame, keys: list[str], names: list[str], edges: list[float] | None = None) -> DataFrame:
-    """(keys, feature, bin, n) of the values inside the edges; empty bins have no row."""
-    bins = bin_of(F.col("value"), edges or config.DRIFT_EDGES)
-    return long_features(rows, keys, names).withColumn("bin", bins).where(F.col("bin").isNotNull()).groupBy(*keys, "feature", "bin").agg(F.count(F.lit(1)).alias("n"))
+    Rows are first counted per combination of bins, before anything is shuffled
+    or unfolded; ``weight`` names a column that says how often a row counts.
+    """
+    bins = F.array(*[bin_of(F.col(n), edges or config.DRIFT_EDGES) for n in names])
+    many = F.sum(weight).cast("bigint") if weight else F.count(F.lit(1))
+    combined = rows.select(*keys, *([weight] if weight else []), bins.alias("_tw_bins")).groupBy(*keys, "_tw_bins").agg(many.alias("n"))
+    cells = combined.select(*keys, "n", F.posexplode("_tw_bins").alias("_tw_i", "bin")).where(F.col("bin").isNotNull())
+    feature = F.get(F.array(*[F.lit(n) for n in names]), F.col("_tw_i"))
+    return cells.groupBy(*keys, feature.alias("feature"), "bin").agg(F.sum("n").alias("n"))
 
 
 def psi(observed: DataFrame, baseline: DataFrame, keys: list[str], n_bins: int) -> DataFrame:

@@ -10,12 +10,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewatch.functions.entities import project
-from tidewatch.runtime import table
+from tidewatch.runtime import materialise, spread, table
 
 
 def envelope(spark: SparkSession, d: str, events: DataFrame | None = None) -> DataFrame:
     """(window_id, id, timestamp, source, severity, kind_json, metadata_json) of every row of events."""
-    e = (table(spark, d, "events") if events is None else events).withColumn("k", F.get_json_object("props", "$.k").cast("int"))
+    e = (spread(table(spark, d, "events")) if events is None else events).withColumn("k", F.get_json_object("props", "$.k").cast("int"))
     t, k = F.col("event_type"), F.col("k")
     of = lambda *pairs: F.coalesce(*[F.when(t == a, b) for a, b in pairs])
     on = lambda types, c: F.when(t.isin(*types), c)
@@ -56,6 +56,11 @@ def projected(spark: SparkSession, d: str) -> DataFrame:
     return project(envelope(spark, d), any_kind=False)
 
 
+def graph_events(spark: SparkSession, d: str) -> DataFrame:
+    """Entities and relations of the envelope, written once for queries that read them several times."""
+    return materialise(projected(spark, d).select("window_id", "id", "timestamp", "entities", "relations"), "graph-events")
+
+
 EV = """ev AS (
   SELECT strftime(make_timestamp(epoch_us(ts)), '%Y-%m-%d') AS window_id, lpad(CAST(event_id AS VARCHAR), 12, '0') AS id, ts, event_type AS t, value,
     'host:host-' || (user_id % 19) AS host, CAST(props ->> '$.k' AS INTEGER) AS k,

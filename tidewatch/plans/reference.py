@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidewatch import config
 from tidewatch.functions.entities import normalised_delta
 from tidewatch.operators import attack, campaigns, graph, metrics, psi, ranking, reputation
-from tidewatch.plans.adapter import ENT, EV, NODES, REL, envelope, projected
+from tidewatch.plans.adapter import ENT, EV, NODES, REL, envelope, graph_events, projected
 from tidewatch.runtime import materialise, table
 
 QUERIES: dict = {}
@@ -117,7 +117,7 @@ def _decayed(events: DataFrame) -> DataFrame:
 
 @query(f"WITH {EV}, {REL}, {_EDGES}, {_DECAY} SELECT window_id, a, b, round(weight, 6) AS weight FROM decay")
 def edge_decay(spark: SparkSession, d: str) -> DataFrame:
-    return _decayed(projected(spark, d)).select("window_id", "a", "b", _rounded("weight").alias("weight"))
+    return _decayed(graph_events(spark, d)).select("window_id", "a", "b", _rounded("weight").alias("weight"))
 
 
 _NORMAL = """both_ways AS (SELECT window_id, a AS src, b AS dst, weight FROM decay UNION ALL SELECT window_id, b, a, weight FROM decay),
@@ -130,12 +130,12 @@ _NORMAL = _NORMAL.replace("SELECT window_id, entity, 1 + coalesce", "SELECT n.wi
 
 
 def _adjacency(events: DataFrame) -> DataFrame:
-    return graph.normalised(_decayed(events), graph.mentions(events).select("window_id", "entity").distinct())
+    return graph.normalised(materialise(_decayed(events), "decayed"), graph.mentions(events).select("window_id", "entity").distinct())
 
 
 @query(f"WITH {EV}, {ENT}, {REL}, {_EDGES}, {_DECAY}, {_NORMAL} SELECT window_id, src, dst, round(weight, 6) AS weight FROM adj")
 def degree_normalized(spark: SparkSession, d: str) -> DataFrame:
-    return _adjacency(projected(spark, d)).select("window_id", "src", "dst", _rounded("weight").alias("weight"))
+    return _adjacency(graph_events(spark, d)).select("window_id", "src", "dst", _rounded("weight").alias("weight"))
 
 
 _LRU = f"""lru AS (SELECT *, row_number() OVER (PARTITION BY window_id ORDER BY last_ts DESC, entity DESC) AS r FROM nodes)"""
@@ -156,7 +156,7 @@ def lru_evictions(spark: SparkSession, d: str) -> DataFrame:
 SELECT window_id, relation, count(*) AS n FROM rel r WHERE EXISTS (FROM kept k WHERE k.window_id = r.window_id AND k.entity = r."left")
   AND EXISTS (FROM kept k WHERE k.window_id = r.window_id AND k.entity = r."right") GROUP BY ALL""")
 def budget_relation_counts(spark: SparkSession, d: str) -> DataFrame:
-    events = projected(spark, d)
+    events = graph_events(spark, d)
     kept = graph.budget(graph.nodes(graph.mentions(events)), MAX_NODES).where("kept")
     return graph.relation_counts(graph.within_nodes(graph.emitted(events), kept))
 
@@ -211,7 +211,9 @@ _HISTORY = f"""hist AS (SELECT window_id, feature, bin, count(*) AS n FROM (
 
 
 def _histogram(spark: SparkSession, d: str) -> DataFrame:
-    return psi.histogram(graph.mentions(projected(spark, d), *_FLAGS), ["window_id"], _FLAGS)
+    """Every event counts once per entity that mentions it."""
+    events = projected(spark, d).withColumn("n_entities", F.size("entities"))
+    return psi.histogram(events, ["window_id"], _FLAGS, weight="n_entities")
 
 
 @query(f"WITH {EV}, {ENT}, {_HISTORY} SELECT window_id, feature, CAST(bin AS INTEGER) AS bin, n FROM hist")
@@ -228,7 +230,7 @@ psi AS (SELECT window_id, feature, sum((o - t) * ln(o / t)) AS psi FROM share GR
 
 
 def _psi(spark: SparkSession, d: str) -> DataFrame:
-    counts = _histogram(spark, d)
+    counts = materialise(_histogram(spark, d), "histogram")
     base = counts.where(F.col("window_id") < _SPLIT_DAY).groupBy("feature", "bin").agg(F.sum("n").alias("n"))
     return psi.psi(counts.where(F.col("window_id") >= _SPLIT_DAY), base, ["window_id"], 10)
 
@@ -269,7 +271,7 @@ def fingerprint_jaccard(spark: SparkSession, d: str) -> DataFrame:
     """Every window against the one before it."""
     from pyspark.sql import Window
 
-    prints = _prints(spark, d)
+    prints = materialise(_prints(spark, d), "prints")
     days = prints.select("window_id").distinct()
     steps = days.select(F.col("window_id").alias("a"), F.lag("window_id").over(Window.orderBy("window_id")).alias("b")).where(F.col("b").isNotNull())
     scores = campaigns.jaccard(prints.withColumnRenamed("window_id", "a"), prints.withColumnRenamed("window_id", "b"), steps)
@@ -295,7 +297,7 @@ def campaign_match(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""WITH {EV}, {ENT}, {REL}, {NODES}, {_EDGES}, {_DECAY}, {_NORMAL}
 SELECT adj.window_id, src AS entity, round(sum(weight * n_events), 4) AS value FROM adj JOIN nodes n ON n.window_id = adj.window_id AND n.entity = dst GROUP BY ALL""")
 def message_pass(spark: SparkSession, d: str) -> DataFrame:
-    events = projected(spark, d)
+    events = graph_events(spark, d)
     state = graph.nodes(graph.mentions(events)).select("window_id", "entity", F.col("n_events").cast("double").alias("value"))
     return graph.message_pass(_adjacency(events), state).select("window_id", "entity", _rounded("value", 4).alias("value"))
 

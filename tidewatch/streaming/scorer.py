@@ -19,7 +19,8 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from tidewatch import config
 from tidewatch.model.nn import Model, Var
-from tidewatch.model.window import DELTA, delta, project_event, scaled
+from tidewatch.functions.rules import read_event
+from tidewatch.model.window import DELTA, delta, scaled
 
 DEFAULT_NODES = 4096
 OUTPUT = "stream_id string, output string, id string, body string"
@@ -57,7 +58,7 @@ class Stream:
         kind = str(event["kind"].get("type", "unknown"))
         if kind in config.ATTACK:
             self.stages.setdefault(kind, event["id"])
-        parts = project_event(event)
+        parts = read_event(event)
         known = [self.entities.get(e) for e in parts.entities]
         gaps = np.array([delta((at - k.last) / 1e6) if k else 0.0 for k in known])
         rows = np.tile(parts.features, (len(known), 1))
