@@ -156,6 +156,13 @@ def _documents(rng):
         for s in rng.sample(shared, rng.randrange(3)):
             parts.insert(rng.randrange(len(parts) + 1), s)
         texts.append("\n".join(parts))
+    # passages of whole sentences in several texts, cut at sentences, inside them, or continued differently
+    line = lambda: prose(rng.randrange(4, 14)) + rng.choice([". ", "! ", ".\n", "? "])
+    passages = ["".join(line() for _ in range(rng.randrange(3, 12))) for _ in range(4)]
+    for i in range(60):
+        p = passages[0] if i % 3 == 0 else rng.choice(passages)
+        cut = sorted(rng.sample(range(len(p)), 2)) if rng.random() < 0.5 else (0, len(p))
+        texts.append("".join(line() for _ in range(rng.randrange(4))) + p[cut[0] : cut[1]] + "".join(line() for _ in range(rng.randrange(4))))
     return texts + texts[10:16]
 
 
@@ -175,15 +182,11 @@ def test_shared_spans(spark, monkeypatch, by_join):
     frame = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").withColumn("class_id", F.lit("clash"))
     holders = _runs(texts, 160)
     want = {(a, b) for h in holders.values() for a in h for b in h if a < b}
-    if by_join:
-        runs = spans.repeated_runs(frame, filter_markers=0)
-        links = {(r[0], r[1]) for r in spans.class_links(runs).collect()}
-        names = {r["doc_id"]: r["class_id"] for r in spans.text_classes(frame).collect()}
-        assert links == {tuple(sorted((names[a], names[b]))) for a, b in want if names[a] != names[b]}
-        return
-    got = [(r[0], r[1]) for r in spans.shared_pairs(frame).collect()]
+    bits = 0 if by_join else spans.FILTER_BITS
+    got = [(r[0], r[1]) for r in spans.shared_pairs(frame, filter_bits=bits).collect()]
     assert len(got) == len(set(got)) and set(got) == want
-    shares = {r["doc_id"]: (r["n_chars"], r["n_shared"]) for r in spans.shared_share(frame).collect()}
+    assert {(r[0], r[1]) for r in spans.sentence_pairs(frame).collect()} <= want
+    shares = {r["doc_id"]: (r["n_chars"], r["n_shared"]) for r in spans.shared_share(frame, filter_bits=bits).collect()}
     for i, t in enumerate(texts):
         covered = {k + j for k in range(len(t or "") - 159) if len(holders[t[k : k + 160]]) > 1 for j in range(160)}
         assert shares[i] == (len(t or ""), len(covered))
@@ -194,7 +197,10 @@ def test_running_min_and_hashes():
     values = np.random.default_rng(0).integers(0, 1 << 60, 300).astype(np.uint64)
     for width in (1, 2, 7, 97):
         assert spans.running_min(values, width).tolist() == [int(values[i : i + width].min()) for i in range(300 - width + 1)]
-    hashes = spans.gram_hashes(np.tile(values[:50], 4), 20, spans._ODD[0])
+    hashed = spans.Hashed(np.tile(values[:50], 4), spans._ODD[0])
+    hashes = hashed.every(20)
+    at = np.array([0, 50, 3])
+    assert len(set(hashed.between(at, at + 31)[:2].tolist())) == 1 and len(set(hashed.between(at, at + 31).tolist())) == 2
     assert hashes[:31].tolist() == hashes[50:81].tolist() and len(set(hashes[:50].tolist())) == 50
 
 

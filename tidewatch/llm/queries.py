@@ -54,6 +54,11 @@ def p10_shares(spark: SparkSession, d: str) -> DataFrame:
     return spans.shared_share(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_report, p1_disagreements, p8_packing, p8_fill, p9_mix, p9_shares, p10_found, p10_shares)}
+def p10_sentences(spark: SparkSession, d: str) -> DataFrame:
+    """How much of each document goes where each repeated sentence run is kept once."""
+    return spans.removed_share(table(spark, d, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_report, p1_disagreements, p8_packing, p8_fill, p9_mix, p9_shares, p10_found, p10_shares, p10_sentences)}
 
 SQL: dict[str, str] = {}
