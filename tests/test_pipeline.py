@@ -50,7 +50,7 @@ def test_instant_policies_and_clashing_columns(spark):
 
 
 def test_every_listed_zone_is_known_to_the_jvm(spark):
-    zones = sorted(known_zones())
+    zones = sorted(known_zones(spark))
     frame = spark.createDataFrame([("2025-07-01 00:00:00", z) for z in zones], "timestamp string, zone string")
     assert with_instant(frame, "timestamp", "zone").where(F.col("utc_us").isNull()).count() == 0
 

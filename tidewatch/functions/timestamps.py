@@ -8,10 +8,14 @@ explicit policy.
 
 from __future__ import annotations
 
-import zoneinfo
+import datetime as dt
+import re
 
-from pyspark.sql import Column, DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import LongType
 
 # Offsets in minutes of the zone abbreviations that are read.
 ABBREVIATIONS = {
@@ -44,9 +48,21 @@ EPOCH_LOW, EPOCH_HIGH = 978_307_200, 4_133_980_800
 DAY_US = 86_400_000_000
 
 
-def known_zones() -> set[str]:
-    """The zone names that are read: area and place, and UTC; bare abbreviations are read as offsets."""
-    return {z for z in zoneinfo.available_timezones() if "/" in z} - {"America/Coyhaique"} | {"UTC"}
+# Zone names the JVM knows under an id of its own besides those it lists.
+EXTRA_ZONES = {"EST": "-05:00", "MST": "-07:00", "HST": "-10:00"}
+
+
+def known_zones(spark: SparkSession) -> set[str]:
+    """The zone names that can be read: all of the JVM that plans and runs the expressions."""
+    listed = spark.sparkContext._jvm.java.time.ZoneId.getAvailableZoneIds()
+    return {z for z in listed.toArray() if not z.startswith("SystemV/")} | set(EXTRA_ZONES)
+
+
+def unknown_zones(sensors: DataFrame, zone: str = "clock_zone") -> DataFrame:
+    """(zone, n): zone names that nothing is known of, whose wall-clock times are read as UTC."""
+    spark = sensors.sparkSession
+    names = spark.createDataFrame([(z,) for z in sorted(known_zones(spark))], f"`{zone}` string")
+    return sensors.where(F.col(zone).isNotNull()).join(F.broadcast(names), zone, "left_anti").groupBy(F.col(zone).alias("zone")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def _days(year: Column, month: Column, day: Column) -> Column:
@@ -157,11 +173,12 @@ def with_instant(
         .when(scaled(1_000_000), n.cast("long"))
         .when(scaled(1_000_000_000), F.floor(n / 1000).cast("long"))
     )
-    known = known_zones()
-    names = {k.upper(): k for k in known}
+    known = known_zones(df.sparkSession)
+    names = {k.upper(): k for k in known if "/" in k or k == "UTC"}
     zone_col = F.col(f"`{zone}`") if zone else F.lit(None).cast("string")
     listed = F.expr(f"`{zone}` IN ({', '.join(map(repr, sorted(known)))})") if zone else F.lit(False)
-    usable = F.when(listed, zone_col).otherwise(F.lit("UTC"))
+    fixed = F.try_element_at(_map(EXTRA_ZONES), zone_col)
+    usable = F.when(listed, F.coalesce(fixed, zone_col)).otherwise(F.lit("UTC"))
     named = F.col("_tw_named")
     step = step.select(
         *keep,
@@ -197,6 +214,59 @@ def with_instant(
     return step.select(*keep, F.when(F.spark_partition_id() >= 0, utc).alias(out))
 
 
+#: The shapes that are read without leaving the JVM; every other text goes to the standard library's own reader.
+PLAIN_ISO = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}[T ]([01][0-9]|2[0-3]):[0-5][0-9]:[0-5][0-9]([.][0-9]{1,9})?(Z|[+-]([01][0-9]|2[0-3]):[0-5][0-9])?$"
+
+
+_DATE = r"[0-9]{4}-?(?:[0-9]{2}-?[0-9]{2}|W[0-9]{2}(?:-?[0-9])?)"
+#: Fractions of anything but seconds, in the time or in the offset, which some versions of the library take.
+_EARLY_FRACTION = re.compile(rf"{_DATE}.[0-9]{{2}}(:?[0-9]{{2}})?[.,]|.*[+-][0-9]{{2}}(:?[0-9]{{2}})?[.,][0-9]+$", re.DOTALL)
+#: The end of a day as hour 24, which some versions refuse; nothing but zeros may follow.
+_DAY_END = re.compile(rf"({_DATE})(.)24((?::?00){{0,2}}(?:[.,]0+)?(?:Z|[+-][0-9:.]+)?)", re.DOTALL)
+
+
+@pandas_udf(LongType())
+def _library_instant(texts: pd.Series) -> pd.Series:
+    def read(text):
+        try:
+            more = 0
+            if _EARLY_FRACTION.match(text):
+                return None
+            if end := _DAY_END.fullmatch(text):
+                # midnight before the next day; day 0 of a month has the first as its next
+                date, more = end[1], 1
+                if date.endswith("00") and "W" not in date:
+                    date, more = date[:-2] + "01", 0
+                text = f"{date}{end[2]}00{end[3]}"
+            value = dt.datetime.fromisoformat(text) + dt.timedelta(days=more)
+            value = (value if value.tzinfo else value.replace(tzinfo=dt.UTC)).astimezone(dt.UTC)
+        except (TypeError, ValueError, OverflowError):
+            return None
+        since = value - dt.datetime(1970, 1, 1, tzinfo=dt.UTC)
+        return (since.days * 86_400 + since.seconds) * 1_000_000 + since.microseconds
+
+    return texts.map(read, na_action="ignore").astype("Int64")
+
+
+def iso_instant(text: Column) -> Column:
+    """Microseconds since 1970 UTC of an event's timestamp by the rules of ISO 8601 readers, null for what they refuse.
+
+    No outer blanks, epoch numbers, slashes or lower-case z; dates alone, weeks and
+    basic forms are read, offsets may have seconds, digits finer than microseconds
+    are cut off, text without an offset is UTC.
+    """
+    part = lambda i, n: F.substring(text, i, n).try_cast("int")
+    year, month, day = part(1, 4), part(6, 2), part(9, 2)
+    exists = (year >= 1) & month.between(1, 12) & day.between(1, _month_length(year, month))
+    clock = (part(12, 2) * 3600 + part(15, 2) * 60 + part(18, 2)).cast("long") * 1_000_000
+    zone = F.regexp_extract(text, r"([+-])([0-9]{2}):([0-9]{2})$", 0)
+    shift = (F.substring(zone, 2, 2).try_cast("int") * 60 + F.substring(zone, 5, 2).try_cast("int")).cast("long") * 60_000_000
+    offset = F.when(zone == "", 0).when(zone.startswith("-"), -shift).otherwise(shift)
+    plain = text.rlike(PLAIN_ISO) & year.between(2, 9998)
+    quick = F.when(exists, _days(year, month, day).cast("long") * DAY_US + clock + _fraction(F.regexp_extract(text, r"[.]([0-9]+)", 1), 6) - offset)
+    return F.coalesce(F.when(plain, quick), _library_instant(F.when(~plain, text)))
+
+
 def already_utc_iso(text: Column) -> Column:
     """Whether text is ``YYYY-MM-DDThh:mm:ss``, an optional fraction, then ``Z`` or ``+00:00``."""
     return F.coalesce(text.rlike(UTC_ISO), F.lit(False))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidewatch.functions.events import host_of, kind_type_of
 from tidewatch.functions.timestamps import already_utc_iso, with_instant
 from tidewatch.operators import dedup, drift, feature_table, nested, sessions
+from tidewatch.plans.pipeline_sql import SQL  # noqa: F401
 from tidewatch.runtime import table
 
 GAP_US = 1_800_000_000
@@ -26,8 +27,9 @@ def located(spark: SparkSession, d: str, *columns: str) -> DataFrame:
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    vectors, index = _vectors(table(spark, d, "idr_events").select(
-        host_of(F.col("metadata")).alias("entity"), kind_type_of(F.col("kind")).alias("kind_type"), "severity", F.lit(None).cast("long").alias("utc_us")
+    """The cells of the feature table over every delivery, with or without an instant."""
+    vectors, index = _vectors(located(spark, d, "severity", "kind", "metadata").select(
+        host_of(F.col("metadata")).alias("entity"), kind_type_of(F.col("kind")).alias("kind_type"), "severity", "utc_us"
     ))
     return feature_table.cells_of(vectors, index).select(F.col("entity").alias("host"), "kind_type")
 
@@ -53,6 +55,12 @@ def p2_features(spark: SparkSession, d: str) -> DataFrame:
     return vectors
 
 
+def p2_cells(spark: SparkSession, d: str) -> DataFrame:
+    """The cells the sparse vectors hold: count, severity total and latest instant per host and type."""
+    vectors, index = _vectors(_once(spark, d))
+    return feature_table.cells_of(vectors, index).withColumnRenamed("entity", "host")
+
+
 def p2_feature_columns(spark: SparkSession, d: str) -> DataFrame:
     """The wide feature table: one row per host, three columns per type."""
     from tidewatch.runtime import materialise
@@ -128,23 +136,7 @@ def p7_events(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        p2_found, p2_features, p2_feature_columns, p3_found, p3_sessions, p4_found, p4_instants, p5_found, p5_nodes, p5_shapes,
+        p2_found, p2_cells, p2_features, p2_feature_columns, p3_found, p3_sessions, p4_found, p4_instants, p5_found, p5_nodes, p5_shapes,
         p6_found, p6_once, p7_found, p7_findings, p7_events,
     )
 }
-
-_HOST = """coalesce(
-  CASE WHEN json_type(metadata, '$.host') = 'VARCHAR' AND metadata ->> '$.host' <> '' THEN metadata ->> '$.host' END,
-  CASE WHEN json_type(metadata, '$.hostname') = 'VARCHAR' AND metadata ->> '$.hostname' <> '' THEN metadata ->> '$.hostname' END,
-  'unknown-host')"""
-_ID = r"""CASE WHEN trim(id, E' \t\r\n') <> '' THEN regexp_replace(lower(trim(id, E' \t\r\n')), '^urn:uuid:|[{}\-]', '', 'g') END"""
-
-SQL = {
-    "p2_found": f"SELECT DISTINCT {_HOST} AS host, coalesce(kind ->> '$.type', 'unknown') AS kind_type FROM idr_events",
-    "p6_found": f"""SELECT row_no FROM (
-  SELECT row_no, k, row_number() OVER (PARTITION BY k ORDER BY received_at, row_no) AS n
-  FROM (SELECT row_no, received_at, {_ID} AS k FROM idr_events)) WHERE k IS NOT NULL AND n > 1""",
-    "p6_once": f"""SELECT * EXCLUDE (k, n) REPLACE (epoch_us(received_at) AS received_at) FROM (
-  SELECT *, row_number() OVER (PARTITION BY k ORDER BY received_at, row_no) AS n
-  FROM (SELECT *, {_ID} AS k FROM idr_events)) WHERE k IS NULL OR n = 1""",
-}

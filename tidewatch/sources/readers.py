@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.functions.timestamps import with_instant
+from tidewatch.functions.timestamps import iso_instant
 
 FIELDS = ("id", "timestamp", "source", "severity", "kind", "metadata")
 REQUIRED = ("id", "kind", "severity", "source", "timestamp")
@@ -55,9 +55,10 @@ def envelopes(lines: DataFrame, raw: str = "value") -> DataFrame:
         *lines.columns, as_text(doc, text, "id").alias("id"), as_text(doc, text, "timestamp").alias("_tw_ts"), as_text(doc, text, "source").alias("source"),
         F.upper(as_text(doc, text, "severity")).alias("severity"), kind.alias("kind_json"), F.when(falsy, "{}").otherwise(meta).alias("metadata_json"), error.alias("error"),
     )
-    timed = with_instant(parsed, "_tw_ts", out="_tw_us")
+    # only a JSON string names a time
+    timed = parsed.withColumn("_tw_us", iso_instant(F.when(F.col("_tw_string"), F.col("_tw_ts"))))
     late = F.when(F.col("error").isNull() & F.col("_tw_us").isNull(), F.concat(F.lit("invalid timestamp: "), F.coalesce("_tw_ts", F.lit("")))).otherwise(F.col("error"))
-    return timed.withColumn("timestamp", F.timestamp_micros("_tw_us")).withColumn("error", late).drop("_tw_ts", "_tw_us")
+    return timed.withColumn("timestamp", F.timestamp_micros("_tw_us")).withColumn("error", late).drop("_tw_ts", "_tw_us", "_tw_string")
 
 
 def _number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
