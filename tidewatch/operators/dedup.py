@@ -1,88 +1,102 @@
-"""Messages delivered more than once: an idempotent, hash-bucketed, sorted store.
-
-``DeliveryStore.upsert`` collapses a batch to one row per identifier (map-side
-first, so a message delivered a million times crosses the network once per
-task), hashes it into buckets and writes each bucket as one sorted run.  A run
-is named by its batch and replaces itself, so a retried batch changes nothing.
-``compact`` merges the runs of each bucket: they are hashed alike and need no
-shuffle, and equal identifiers end up as neighbours and collapse to one.
+"""Messages delivered more than once: an idempotent, hash-bucketed store of sorted runs.
+
+``DeliveryStore.upsert`` collapses each batch to one row per identifier
+(map-side first, so a message delivered a million times crosses the network
+once per task), hashes it into buckets and adds each bucket of each run as one
+sorted file.  Which row survives does not depend on how often or in which order
+rows arrive, so a batch written again changes nothing.  ``compact`` merges the
+runs of each bucket where it lies: all are hashed alike, so nothing is shuffled,
+and equal identifiers of several runs collapse to one.
 """
 
 from __future__ import annotations
 
-import re
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewatch.functions.events import canonical_id
-from tidewatch.runtime import scratch_path, shuffle_width
+from tidewatch.runtime import delete_path, materialise, scratch_path, shuffle_width
+
+#: Runs a table of many batches is upserted as; bounds the files of the store, not the batches.
+RUNS = 8
 
 
 class DeliveryStore:
-    """Survivors by identifier, kept under ``path`` in ``buckets`` hash buckets."""
+    """Survivors by run and identifier, in ``buckets`` hash buckets; one table, partitioned by run."""
 
     def __init__(self, spark: SparkSession, path: str | None = None, buckets: int | None = None):
         self.spark = spark
         self.path = path or scratch_path(spark, "deliveries")
         self.buckets = buckets or shuffle_width(spark)
-        self.runs: dict[str, str] = {}
-
-    def upsert(self, batch: DataFrame, name: str) -> None:
-        """Write the survivors of ``batch`` (key, received_us, row_no) as the run ``name``."""
-        run = "tw_run_" + re.sub(r"\W", "_", f"{self.path.rsplit('/', 1)[-1]}_{name}")
-        (
-            survivors(batch)
-            .write.mode("overwrite")
-            .format("parquet")
-            .option("path", f"{self.path}/{run}")
-            .bucketBy(self.buckets, "key")
-            .sortBy("key")
-            .saveAsTable(run)
-        )
-        self.runs[name] = run
-
-    def compact(self) -> DataFrame:
+        self.table = f"tw_deliveries_{uuid.uuid4().hex}"
+        self.empty = True
+
+    def upsert(self, batches: DataFrame) -> None:
+        """Add the survivors of each run of ``batches`` (run, key, received_us, row_no)."""
+        # one file per run and bucket, whatever the number of tasks before
+        placed = survivors(batches, "run", "key").repartition(self.buckets, "key").sortWithinPartitions("run", "key")
+        out = placed.write.mode("append").format("parquet").option("path", self.path)
+        out.partitionBy("run").bucketBy(self.buckets, "key").sortBy("key").saveAsTable(self.table)
+        self.empty = False
+
+    def merged(self) -> DataFrame:
         """One row per identifier over all runs: key, received_us, row_no."""
-        if not self.runs:
+        if self.empty:
             raise ValueError("nothing was upserted")
-        merged = None
-        for run in self.runs.values():
-            part = self.spark.table(run)
-            merged = part if merged is None else merged.unionByName(part)
-        return survivors(merged)
+        return survivors(self.spark.table(self.table), "key")
+
+    def compact(self) -> DataFrame:
+        """``merged``, written once; the runs it replaces are deleted."""
+        whole = materialise(self.merged(), "compacted")
+        self.drop()
+        return whole
+
+    def drop(self) -> None:
+        """Delete the runs and the catalogue's entry."""
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.table}")
+        delete_path(self.spark, self.path)
+        self.empty = True
 
 
-def survivors(deliveries: DataFrame) -> DataFrame:
+def survivors(deliveries: DataFrame, *keys: str) -> DataFrame:
     """The row with the earliest ``received_us`` of each key, among equals the smallest ``row_no``.
 
     A null ``received_us`` counts as later than any time.
     """
     first = F.min(F.struct(F.col("received_us").isNull().alias("late"), "received_us", "row_no"))
-    return deliveries.groupBy("key").agg(first.alias("f")).select("key", "f.received_us", "f.row_no")
+    return deliveries.groupBy(*keys).agg(first.alias("f")).select(*keys, "f.received_us", "f.row_no")
+
+
+def run_of(batch: F.Column, runs: int = RUNS) -> F.Column:
+    """The run a batch belongs to; a null batch has one, too."""
+    return F.pmod(F.xxhash64(batch), F.lit(runs)).cast("int")
 
 
-def deliveries(events: DataFrame) -> DataFrame:
-    """key, received_us and row_no of every row whose id is neither null nor blank."""
+def deliveries(events: DataFrame, runs: int = RUNS) -> DataFrame:
+    """run, key, received_us and row_no of every row whose id is neither null nor blank; without ``batch_id`` all are one run."""
+    run = run_of(F.col("batch_id"), runs) if "batch_id" in events.columns else F.lit(0)
     return events.select(
-        canonical_id(F.col("id")).alias("key"), F.unix_micros("received_at").alias("received_us"), "row_no"
+        run.alias("run"), canonical_id(F.col("id")).alias("key"), F.unix_micros("received_at").alias("received_us"), "row_no"
     ).where(F.col("key").isNotNull())
 
 
-def surplus_rows(events: DataFrame, store: DeliveryStore | None = None, batch: str = "landed") -> DataFrame:
+def surplus_rows(events: DataFrame, runs: int = RUNS) -> DataFrame:
     """``row_no`` of every delivery that is not the one kept.
 
-    Kept of all rows with the same id: the earliest ``received_at``, among equals
-    the smallest ``row_no``.  Rows without an id are never surplus; an empty table
-    has none.  ``row_no`` must be unique; where it repeats, the copies share a fate.
+    Kept of all rows with the same id, across all batches: the earliest
+    ``received_at``, among equals the smallest ``row_no``.  Rows without an id are
+    never surplus; an empty table has none.  ``row_no`` must be unique; where it
+    repeats, the copies share a fate.
     """
-    store = store or DeliveryStore(events.sparkSession)
-    landed = deliveries(events)
-    store.upsert(landed, batch)
+    store = DeliveryStore(events.sparkSession)
+    landed = deliveries(events, runs)
+    store.upsert(landed)
     kept = store.compact().select("row_no")
     return landed.select("row_no").join(kept, "row_no", "left_anti").distinct()
 
 
-def delivered_once(events: DataFrame, store: DeliveryStore | None = None, batch: str = "landed") -> DataFrame:
+def delivered_once(events: DataFrame, runs: int = RUNS) -> DataFrame:
     """The rows of ``events`` without the surplus deliveries, all columns kept."""
-    return events.join(surplus_rows(events, store, batch), "row_no", "left_anti")
+    return events.join(surplus_rows(events, runs), "row_no", "left_anti")
