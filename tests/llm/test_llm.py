@@ -118,8 +118,34 @@ def test_permutation_and_draws():
     assert mixing.quotas(np.array([0.5, 0.3, 0.2]), np.array([1000, 10, 1000]), 100).tolist() == [64, 10, 26]
     assert mixing.quotas(np.array([0.5, 0.5]), np.array([3, 4]), 100).tolist() == [3, 4]
     assert mixing.quotas(np.array([1 / 3] * 3), np.array([9, 9, 9]), 10).sum() == 10
-    drawn = mixing.draw_counts(np.array([500, 300, 7]), 64, 1)
+    shards = [mixing.shard_counts(np.array([500, 300, 7]), 64, k, 1) for k in range(13)]
+    drawn = [c for c, _ in shards]
     assert np.sum(drawn, 0).tolist() == [500, 300, 7] and all(d.sum() == 64 for d in drawn[:-1])
+    assert all((s == np.sum(drawn[:k], 0)).all() for k, (_, s) in enumerate(shards))
+
+
+def test_folded_contents(spark):
+    event = lambda source, kind, sev="high": ("1", "x", source, sev, kind, '{"host": "H"}')
+    rows = [
+        ("a", 0, "train", "q", [event("Net  Zeek", '{"type": "Beacon!", "n": 1}')]), ("b", 1, "test", "q", [event("net zeek.", '{"n": 1, "type": "beacon"}', "HIGH")]),
+        ("c", 1, "test", "q", [event("netzeek", '{"n": 1, "type": "beacon"}')]),
+    ]
+    frame = spark.createDataFrame(rows, EVENTS)
+    assert overlap.cross_split_pairs(frame).count() == 0
+    assert [(r["train_id"], r["other_id"]) for r in overlap.cross_split_pairs(frame, fold=True).collect()] == [("a", "b")]
+    found = overlap.overlapping_windows(frame, fold=True).collect()
+    assert [(r["window_id"], r["exact"], r["train_zeros"], r["train_ones"]) for r in found] == [("b", True, 1, 0)]
+
+
+def test_packing_to_targets(spark):
+    rows = [(i, "ab"[i % 2], 10) for i in range(800)]
+    targets = spark.createDataFrame([("a", 0.8), ("b", 0.2)], "source string, target_share double")
+    packed = packing.pack_counts(spark.createDataFrame(rows, _COUNTS), 100, targets=targets)
+    mixed = packing.container_mixture(packed).where("source = 'a'").orderBy("container_id").collect()
+    # a's 400 items fill 50 windows to four fifths; b has the rest alone
+    assert sorted(round(r["share"], 1) for r in mixed) == [0.8] * 50
+    awkward = spark.createDataFrame([(i, "a", 60) for i in range(300)], _COUNTS)
+    assert packing.pack_counts(awkward, 100, 50, carry_items=None).select("container_id").distinct().count() == 300
 
 
 def test_mix(spark):

@@ -50,19 +50,32 @@ def quotas(weights: np.ndarray, limits: np.ndarray, wanted: int) -> np.ndarray:
     return got
 
 
-def draw_counts(quota: np.ndarray, shard_slots: int, seed: int) -> list[np.ndarray]:
-    """Slots of each source in each output shard: multinomial draws over what is left, which add up to ``quota``."""
-    rng = np.random.default_rng(seed)
-    left, out = quota.astype(np.int64).copy(), []
-    while (total := int(left.sum())) > 0:
-        size = min(shard_slots, total)
-        drawn = np.minimum(rng.multinomial(size, left / total), left)
-        while (short := size - int(drawn.sum())) > 0:
-            rest = left - drawn
-            drawn += np.minimum(rng.multinomial(short, rest / rest.sum()), rest)
-        out.append(drawn)
-        left -= drawn
-    return out
+def _drawn(rng: np.random.Generator, left: np.ndarray, size: int) -> np.ndarray:
+    """``size`` of what is left, by multinomial draws that take no more of a source than there is."""
+    drawn = np.minimum(rng.multinomial(size, left / left.sum()), left)
+    while (short := size - int(drawn.sum())) > 0:
+        rest = left - drawn
+        drawn += np.minimum(rng.multinomial(short, rest / rest.sum()), rest)
+    return drawn
+
+
+def shard_counts(quota: np.ndarray, shard_slots: int, shard: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """(counts, starts): slots of each source in one output shard, and in all shards before it.
+
+    The shards are the leaves of a binary tree.  At each node the slots of the left
+    half are drawn from the node's own by a generator of the node's number, so that
+    any worker finds any shard on its own and all shards add up to ``quota``.
+    """
+    counts, starts = quota.astype(np.int64), np.zeros(len(quota), np.int64)
+    lo, hi, node = 0, -(-int(counts.sum()) // shard_slots), 1
+    while hi - lo > 1:
+        mid = (lo + hi) // 2
+        left = _drawn(np.random.default_rng((seed, node)), counts, (mid - lo) * shard_slots)
+        if shard < mid:
+            counts, hi, node = left, mid, 2 * node
+        else:
+            counts, starts, lo, node = counts - left, starts + left, mid, 2 * node + 1
+    return counts, starts
 
 
 def _mix64(x: np.ndarray) -> np.ndarray:
@@ -87,13 +100,13 @@ def permute(index: np.ndarray, n: int, key: int) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def _slots(sources: list[str], blocks: list[int], seed: int):
+def _slots(sources: list[str], blocks: list[int], quota: np.ndarray, shard_slots: int, seed: int):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            for row in frame.itertuples(index=False):
-                counts = np.asarray(row.counts)
+            for shard in frame["shard"].tolist():
+                counts, starts = shard_counts(quota, shard_slots, shard, seed)
                 label = np.repeat(np.arange(len(sources)), counts)
-                nth = np.concatenate([s + np.arange(c) for s, c in zip(row.starts, counts, strict=True)])
+                nth = np.concatenate([s + np.arange(c) for s, c in zip(starts, counts, strict=True)])
                 use, block = np.zeros(len(nth), np.int32), np.zeros(len(nth), np.int64)
                 for i in np.flatnonzero(counts):
                     own = label == i
@@ -101,9 +114,9 @@ def _slots(sources: list[str], blocks: list[int], seed: int):
                     for u in np.unique(use[own]):
                         at = own & (use == u)
                         block[at] = permute(nth[at] % blocks[i], blocks[i], (seed * 1_000_003 + int(i)) * 4_099 + int(u))
-                order = np.random.default_rng((seed, row.shard)).permutation(len(nth))
+                order = np.random.default_rng((seed, shard)).permutation(len(nth))
                 names = np.asarray(sources, dtype=object)
-                yield pd.DataFrame({"shard": row.shard, "slot": np.arange(len(nth)), "source": names[label[order]], "block_no": block[order], "use_no": use[order]})
+                yield pd.DataFrame({"shard": shard, "slot": np.arange(len(nth)), "source": names[label[order]], "block_no": block[order], "use_no": use[order]})
 
     return run
 
@@ -155,13 +168,10 @@ def mix_counts(counts: DataFrame, targets: DataFrame, block: int = BLOCK, part:
     blocks = np.array([(sizes.get(s) or 0) // block for s in sources], dtype=np.int64)
     limits = blocks * np.array([goal[s][1] for s in sources], dtype=np.int64)
     quota = quotas(np.array([goal[s][0] for s in sources], dtype=float), limits, round(total * part / block))
-    drawn = draw_counts(quota, shard_slots, seed)
-    starts = np.cumsum([np.zeros(len(sources), np.int64), *drawn], axis=0)
-    plan = spark.createDataFrame(
-        [(k, [int(x) for x in c], [int(x) for x in starts[k]]) for k, c in enumerate(drawn)], "shard bigint, counts array<bigint>, starts array<bigint>"
-    ).repartition(max(1, min(len(drawn), 10_000)), "shard")
+    shards = -(-int(quota.sum()) // shard_slots)
+    plan = spark.range(0, shards, 1, max(1, min(shards, 10_000))).withColumnRenamed("id", "shard")
     # The planner takes generated rows to be as few as those of the plan and would broadcast them.
-    slots = plan.mapInPandas(_slots(sources, blocks.tolist(), seed), _SLOTS).hint("merge")
+    slots = plan.mapInPandas(_slots(sources, blocks.tolist(), quota, shard_slots, seed), _SLOTS).hint("merge")
     return slots.join(segments(own, block), ["source", "block_no"]).select("shard", "slot", "source", "block_no", "use_no", "doc_id", "token_start", "n_tokens")
 
 

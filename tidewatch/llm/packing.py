@@ -12,7 +12,7 @@ next level, where the leftovers of many shards are packed together.
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewatch.llm.tokens import TOKENIZER, token_counts
@@ -89,7 +89,7 @@ def fill_windows(items: list[tuple[int, str, object]], shares: dict[str, float],
     return windows
 
 
-def _pack(level: int, last: bool, capacity: int):
+def _pack(level: int, last: bool, capacity: int, carry_items: int | None):
     def pack(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         carried = frame[frame["piece_no"] < 0]
         owed = carried.groupby("source")["deficit"].sum().to_dict()
@@ -99,7 +99,7 @@ def _pack(level: int, last: bool, capacity: int):
         windows = fill_windows(items, shares, owed, capacity)
         keep = [True] * len(windows)
         if not last:
-            carry = CARRY_ITEMS
+            carry = len(items) if carry_items is None else carry_items
             for i in sorted(range(len(windows)), key=lambda i: sum(x[0] for x in windows[i])):
                 if sum(x[0] for x in windows[i]) >= WELL_FILLED * capacity or len(windows[i]) > carry:
                     break
@@ -130,12 +130,20 @@ def pieces(counts: DataFrame, capacity: int) -> DataFrame:
     return rows.select("doc_id", "piece_no", "source", F.least(n - F.col("piece_no") * F.lit(capacity), F.lit(capacity)).alias("n_tokens"))
 
 
-def pack_counts(counts: DataFrame, capacity: int = CAPACITY, shard_items: int = SHARD_ITEMS) -> DataFrame:
+def pack_counts(
+    counts: DataFrame, capacity: int = CAPACITY, shard_items: int = SHARD_ITEMS, targets: DataFrame | None = None, carry_items: int | None = CARRY_ITEMS
+) -> DataFrame:
     """(doc_id, piece_no, source, n_tokens, container_id, slot) for counts of (doc_id, source, n_tokens).
 
     Every token of every text is in exactly one piece and every piece in exactly
     one container, of at most ``capacity``; a text that fits is one piece.  Pieces
     without tokens have a null container and slot.  doc_id must be unique.
+
+    Windows are filled to the proportions of ``targets`` (source, target_share) as
+    long as their sources last, without them to those of the corpus; sources
+    without a target only fill what others leave.  ``carry_items`` bounds what a
+    shard passes on from windows it filled badly; beyond it they stay as they are
+    (``container_fill`` shows them), None passes all on.
     """
     if capacity < 1:
         raise ValueError("capacity must be positive")
@@ -151,7 +159,11 @@ def pack_counts(counts: DataFrame, capacity: int = CAPACITY, shard_items: int =
     all_sources = by_source.agg(F.sum("tokens").alias("all_tokens"), F.sum("items").alias("all_items"))
     totals = all_sources.first()
     groups = max(1, -(-(totals["all_items"] or 0) // shard_items))
-    shares = by_source.select("source", (F.col("tokens") / F.lit(totals["all_tokens"] or 1)).alias("share"))
+    if targets is None:
+        shares = by_source.select("source", (F.col("tokens") / F.lit(totals["all_tokens"] or 1)).alias("share"))
+    else:
+        wanted = targets.groupBy(F.coalesce("source", F.lit("")).alias("source")).agg(F.sum("target_share").alias("t"))
+        shares = by_source.select("source").join(wanted, "source", "left").select("source", F.coalesce("t", F.lit(0.0)).alias("share"))
     level_in = loose.join(shares, "source").select(
         F.pmod(F.xxhash64("doc_id", "piece_no"), F.lit(groups)).alias("grp"), "doc_id", "piece_no", "source", "share", "n_tokens",
         F.lit("").alias("container_id"), F.lit(0).alias("slot"), F.lit(0.0).alias("deficit"),
@@ -159,7 +171,7 @@ def pack_counts(counts: DataFrame, capacity: int = CAPACITY, shard_items: int =
     out, level = whole, 0
     while True:
         last = groups == 1
-        packed = level_in.groupBy("grp").applyInPandas(_pack(level, last, capacity), _PACKED)
+        packed = level_in.groupBy("grp").applyInPandas(_pack(level, last, capacity, carry_items), _PACKED)
         if not last:
             packed = materialise(packed, f"packed{level}")
         done = packed.where(F.col("container_id") != "")
@@ -171,9 +183,9 @@ def pack_counts(counts: DataFrame, capacity: int = CAPACITY, shard_items: int =
         level += 1
 
 
-def pack(documents: DataFrame, capacity: int = CAPACITY, tokenizer: str = TOKENIZER) -> DataFrame:
+def pack(documents: DataFrame, capacity: int = CAPACITY, tokenizer: str = TOKENIZER, targets: DataFrame | None = None) -> DataFrame:
     """``pack_counts`` of the texts of ``documents`` by the tokens of ``tokenizer``; texts are tokenised once."""
-    return pack_counts(materialise(token_counts(documents, tokenizer), "tokens"), capacity)
+    return pack_counts(materialise(token_counts(documents, tokenizer), "tokens"), capacity, targets=targets)
 
 
 def container_fill(packed: DataFrame, capacity: int = CAPACITY) -> DataFrame:
@@ -181,3 +193,9 @@ def container_fill(packed: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     held = packed.where(F.col("container_id").isNotNull()).groupBy("container_id")
     total = held.agg(F.count(F.lit(1)).alias("n_items"), F.sum("n_tokens").alias("n_tokens"))
     return total.withColumn("fill", F.col("n_tokens") / F.lit(capacity))
+
+
+def container_mixture(packed: DataFrame) -> DataFrame:
+    """(container_id, source, n_tokens, share): what part of each container's tokens each source gives."""
+    parts = packed.where(F.col("container_id").isNotNull()).groupBy("container_id", "source").agg(F.sum("n_tokens").alias("n_tokens"))
+    return parts.withColumn("share", F.col("n_tokens") / F.sum("n_tokens").over(Window.partitionBy("container_id")))
