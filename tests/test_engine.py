@@ -248,7 +248,7 @@ def test_registry(tmp_path):
     assert known.resolve(["host:x"], "t3")[1] is False and known.resolve(["process:x:1", "session:x:2"], "t4")[0] == campaigns.UNFINGERPRINTED
     known.save(tmp_path / "r.json")
     assert campaigns.Registry.load(tmp_path / "r.json").resolve(["hash:a", "domain:b"], "t5")[:2] == (first[0], True)
-    assert campaigns.Registry.load(tmp_path / "none.json").records == []
+    assert campaigns.Registry.load(tmp_path / "none.json").rows == []
 
 
 def test_reputation(spark):
@@ -317,8 +317,11 @@ def test_technique_bundle(spark):
 
 def test_config(tmp_path):
     (tmp_path / "c.toml").write_text("[model]\nhidden_dim = 8\n")
-    loaded = config.load_config(tmp_path / "c.toml")
-    assert loaded.model.hidden_dim == 8 and loaded.graph == config.Config().graph and loaded.digest() != config.Config().digest()
+    loaded, usual = config.read_settings(tmp_path / "c.toml"), config.Settings()
+    assert loaded["model.hidden_dim"] == 8 and loaded.sections()["graph"] == usual.sections()["graph"] and loaded.digest() != usual.digest()
+    for changed, error in (({"model.depth": 1}, KeyError), ({"scoring.top_k": "5"}, TypeError)):
+        with pytest.raises(error):
+            config.Settings(changed)
 
 
 def test_log_lines(capsys):

@@ -251,3 +251,25 @@ def test_unified_tables(spark):
     rows = {r["line_id"]: r for r in drift.typed_table(unified, "finding", drift.FINDING_COLUMNS).collect()}
     assert [rows[i]["graph_nodes"] for i in range(3)] == [4, 5, None]
     assert rows[1]["rest"] == {"extra": "e"} and rows[0]["rest"] == {"drift.m": "1"}
+
+
+def test_deep_json_and_variants(spark, tmp_path):
+    deep = '{"a":' * 20_000 + "1" + "}" * 20_000
+    value, depth = nested.decode(deep), 0
+    while isinstance(value, dict):
+        value, depth = value["a"], depth + 1
+    assert depth == 20_000
+    assert [nested.decode(t) for t in ('{"a": NaN}', "[Infinity]", "{bad", "", None)] == [None] * 5
+    for text in ('{"a": [1, {"b": null}], "c": "x\\u00e9\\n"}', '[]', '{"a": {}, "b": [[], [true, -1.5e3]]}', "7"):
+        assert nested._decode_deep(text) == json.loads(text)
+    for text in ("[1,]", '{"a" 1}', "[}", "{} {}", '{"a":}', "[01]", "]"):
+        with pytest.raises(ValueError):
+            nested._decode_deep(text)
+    rows = [(i, json.dumps({"type": "t", "n": i, "o": {"x": "y"}} if i % 3 else {"type": "u", "f": 0.5})) for i in range(30)]
+    nodes = nested.node_table(spark.createDataFrame(rows, "row_no long, kind string"), ["row_no"], [("kind", False)])
+    nested.write_variants(nodes, str(tmp_path / "variants"))
+    shapes = nested.shape_catalog(nodes).collect()
+    tables = {r["shape"]: nested.read_variant(spark, str(tmp_path / "variants"), r["shape_id"], r["shape"]) for r in shapes}
+    assert sum(t.count() for t in tables.values()) == 50 and len(tables) == 3
+    held = next(t for s, t in tables.items() if '"n"' in s).select("row_no", "value.n").collect()
+    assert len(held) == 20 and all(r["n"] == r["row_no"] for r in held)

@@ -346,7 +346,7 @@ class Model:
         manifest = {
             "engine_version": config.ENGINE_VERSION, "model_version": self.version, "feature_schema_hash": config.schema_hash(), "spec": asdict(self.spec),
             "calibration": {"temperature": self.temperature, "bias": self.bias, "label": self.calibration()}, "feature_stats": self.feature_stats,
-            "scoring": {"top_k_default": config.ScoringConfig().top_k, "evidence_limit": config.EVIDENCE_LIMIT},
+            "scoring": {"top_k_default": config.DEFAULTS["scoring.top_k"], "evidence_limit": config.EVIDENCE_LIMIT},
         }
         (folder / "manifest.json").write_text(json.dumps(manifest, indent=2) + "\n")
 

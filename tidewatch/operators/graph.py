@@ -23,20 +23,25 @@ def seconds_between(later: Column, earlier: Column) -> Column:
     return (F.unix_micros(later) - F.unix_micros(earlier)) / F.lit(1e6)
 
 
-def with_stream_gap(events: DataFrame, bucket_seconds: int = BUCKET_SECONDS) -> DataFrame:
-    """Add gap_seconds since the event before in its window (0 for the first), by (timestamp, id).
+def _with_gap(rows: DataFrame, keys: list[str], out: str, bucket_seconds: int) -> DataFrame:
+    """Add the seconds since the row before of the same keys (0 for the first), by (timestamp, id).
 
     Gaps are found inside time buckets; the first of a bucket looks at the last
-    of the bucket before, of which there is one row, so a hot window is split.
+    of the bucket before, of which there is one row, so hot keys are split.
     """
     bucket = F.floor(F.unix_micros("timestamp") / F.lit(bucket_seconds * 1_000_000))
-    cut = events.withColumn("_tw_b", bucket)
-    ends = cut.groupBy("window_id", "_tw_b").agg(F.max("timestamp").alias("_tw_end"))
-    before = F.lag("_tw_end").over(Window.partitionBy("window_id").orderBy("_tw_b"))
-    known = ends.select("window_id", "_tw_b", before.alias("_tw_before"))
-    inside = F.lag("timestamp").over(Window.partitionBy("window_id", "_tw_b").orderBy("timestamp", "id"))
+    cut = rows.withColumn("_tw_b", bucket)
+    ends = cut.groupBy(*keys, "_tw_b").agg(F.max("timestamp").alias("_tw_end"))
+    before = F.lag("_tw_end").over(Window.partitionBy(*keys).orderBy("_tw_b"))
+    known = ends.select(*keys, "_tw_b", before.alias("_tw_before"))
+    inside = F.lag("timestamp").over(Window.partitionBy(*keys, "_tw_b").orderBy("timestamp", "id"))
     gap = F.coalesce(seconds_between(F.col("timestamp"), F.coalesce("_tw_in", "_tw_before")), F.lit(0.0))
-    return cut.withColumn("_tw_in", inside).join(known, ["window_id", "_tw_b"]).withColumn("gap_seconds", gap).drop("_tw_b", "_tw_in", "_tw_before")
+    return cut.withColumn("_tw_in", inside).join(known, [*keys, "_tw_b"]).withColumn(out, gap).drop("_tw_b", "_tw_in", "_tw_before")
+
+
+def with_stream_gap(events: DataFrame, bucket_seconds: int = BUCKET_SECONDS) -> DataFrame:
+    """Add gap_seconds since the event before in its window (0 for the first), by (timestamp, id)."""
+    return _with_gap(events, ["window_id"], "gap_seconds", bucket_seconds)
 
 
 def mentions(events: DataFrame, *columns: str) -> DataFrame:
@@ -44,10 +49,9 @@ def mentions(events: DataFrame, *columns: str) -> DataFrame:
     return events.select("window_id", "id", "timestamp", *columns, F.posexplode("entities").alias("pos", "entity"))
 
 
-def with_entity_gap(rows: DataFrame) -> DataFrame:
+def with_entity_gap(rows: DataFrame, bucket_seconds: int = BUCKET_SECONDS) -> DataFrame:
     """Add entity_gap_seconds since the entity was last seen in its window (0 at first)."""
-    own = Window.partitionBy("window_id", "entity").orderBy("timestamp", "id")
-    return rows.withColumn("entity_gap_seconds", F.coalesce(seconds_between(F.col("timestamp"), F.lag("timestamp").over(own)), F.lit(0.0)))
+    return _with_gap(rows, ["window_id", "entity"], "entity_gap_seconds", bucket_seconds)
 
 
 def nodes(rows: DataFrame) -> DataFrame:
@@ -78,12 +82,17 @@ def histories(rows: DataFrame, max_steps: int) -> DataFrame:
 
 
 def evidence(rows: DataFrame, limit: int | None = None) -> DataFrame:
-    """(window_id, entity, evidence_ids): distinct event ids in order, the latest ``limit`` of them."""
-    ids = F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct("timestamp", "id"))), lambda x: x["id"]))
-    found = rows.groupBy("window_id", "entity").agg(ids.alias("evidence_ids"))
-    if limit is None:
-        return found
-    return found.withColumn("evidence_ids", F.slice("evidence_ids", F.greatest(F.size("evidence_ids") - limit + 1, F.lit(1)), limit))
+    """(window_id, entity, evidence_ids): distinct event ids in order of first sight, the latest ``limit`` of them.
+
+    The cut comes before the collecting, and Spark takes it before the shuffle, too.
+    """
+    key = ["window_id", "entity"]
+    seen = rows.groupBy(*key, "id").agg(F.min("timestamp").alias("timestamp"))
+    if limit is not None:
+        latest = Window.partitionBy(*key).orderBy(F.desc("timestamp"), F.desc("id"))
+        seen = seen.withColumn("_tw_r", F.row_number().over(latest)).where(F.col("_tw_r") <= limit)
+    ordered = F.array_sort(F.collect_list(F.struct("timestamp", "id")))
+    return seen.groupBy(*key).agg(F.transform(ordered, lambda x: x["id"]).alias("evidence_ids"))
 
 
 def emitted(events: DataFrame) -> DataFrame:
@@ -166,8 +175,11 @@ def node_rows(events: DataFrame, max_steps: int, time_mode: str = "global") -> D
     if time_mode not in ("global", "per_entity", "time_aware"):
         raise ValueError(f"unknown time_mode: {time_mode}")
     gapped = with_stream_gap(events) if time_mode == "global" else events.withColumn("gap_seconds", F.lit(0.0))
-    rows = with_entity_gap(mentions(gapped, "gap_seconds", *config.FEATURES))
-    own = normalised_delta(F.col("entity_gap_seconds"))
-    delta = normalised_delta(F.col("gap_seconds")) if time_mode == "global" else own
+    # a step's gap needs the step before it, so one more than asked for is kept until then
+    rows = histories(mentions(gapped, "gap_seconds", *config.FEATURES), max_steps + 1)
+    before = F.lag("timestamp").over(Window.partitionBy("window_id", "entity").orderBy(F.desc("step")))
+    own = normalised_delta(F.coalesce(seconds_between(F.col("timestamp"), before), F.lit(0.0)))
+    rows = rows.withColumn("_tw_own", own).where(F.col("step") <= max_steps)
+    delta = normalised_delta(F.col("gap_seconds")) if time_mode == "global" else F.col("_tw_own")
     vector = F.array(*[delta if name == "delta_seconds_log" else F.col(name) for name in config.FEATURES])
-    return histories(rows, max_steps).select("window_id", "entity", "id", "timestamp", "step", vector.alias("f"), own.alias("gap"))
+    return rows.select("window_id", "entity", "id", "timestamp", "step", vector.alias("f"), F.col("_tw_own").alias("gap"))

@@ -10,11 +10,12 @@ shape and go to the same typed table; all of them keep the supertype's keys
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 NODE_COLUMNS = ["parent_path", "node_path", "depth", "shape_id", "shape", "fields"]
@@ -39,13 +40,75 @@ class Automaton:
         return found
 
 
+_TOKEN = re.compile(r"[ \t\r\n]*([\[\]{},:]|\"|-?[0-9][0-9.eE+-]*|true|false|null)")
+_WORDS = {"true": True, "false": False, "null": None}
+
+
+def _not_json(word: str):
+    raise ValueError(f"{word} is not JSON")
+
+
+def _decode_deep(text: str):
+    """As ``json.loads``, without recursion: for values nested deeper than the interpreter's stack."""
+    at, holders, key, done, want = 0, [], [], None, "value"
+    while True:
+        token = _TOKEN.match(text, at)
+        if not token:
+            raise ValueError(f"no JSON at {at}")
+        word, at = token[1], token.end()
+        if word in "]}" and want in ("end", "first"):
+            if not holders or (word == "]") != (type(holders[-1]) is list):
+                raise ValueError(f"{word} at {at}")
+            done = holders.pop()
+            key.pop()
+        elif word == "," and want == "end" and holders:
+            want = "value" if type(holders[-1]) is list else "key"
+            continue
+        elif word == '"' and (want == "key" or (want == "first" and type(holders[-1]) is dict)):
+            key[-1], at = json.decoder.scanstring(text, at, True)
+            colon = _TOKEN.match(text, at)
+            if not colon or colon[1] != ":":
+                raise ValueError(f"no colon at {at}")
+            at, want = colon.end(), "value"
+            continue
+        elif want == "value" or (want == "first" and type(holders[-1]) is list):
+            if word in "[{":
+                holders.append([] if word == "[" else {})
+                key.append(None)
+                want = "first"
+                continue
+            if word == '"':
+                done, at = json.decoder.scanstring(text, at, True)
+            elif word in _WORDS:
+                done = _WORDS[word]
+            else:
+                done = json.loads(word)
+        else:
+            raise ValueError(f"{word} at {at}")
+        if not holders:
+            if text[at:].strip(" \t\r\n"):
+                raise ValueError(f"more than one value at {at}")
+            return done
+        if type(holders[-1]) is list:
+            holders[-1].append(done)
+        else:
+            holders[-1][key[-1]] = done
+        want = "end"
+
+
 def decode(text: str | None):
-    """The JSON value of a text; None where it is no JSON or nested too deeply to be read."""
+    """The JSON value of a text, however deeply it is nested; None where it is no JSON."""
     if not text:
         return None
     try:
-        return json.loads(text)
-    except (ValueError, RecursionError):
+        return json.loads(text, parse_constant=_not_json)
+    except RecursionError:
+        pass
+    except ValueError:
+        return None
+    try:
+        return _decode_deep(text)
+    except ValueError:
         return None
 
 
@@ -170,6 +233,30 @@ def shape_catalog(nodes: DataFrame) -> DataFrame:
     return nodes.groupBy("shape_id").agg(F.min("shape").alias("shape"), F.count(F.lit(1)).alias("n_nodes"))
 
 
+#: Folders the variants' tables are kept in: a fixed number, since shapes have a long tail.
+VARIANT_FOLDERS = 64
+
+
+def _folder(shape_id: Column) -> Column:
+    return F.pmod(F.xxhash64(shape_id), F.lit(VARIANT_FOLDERS)).cast("int")
+
+
+def write_variants(nodes: DataFrame, path: str, salt: int = 16) -> None:
+    """Route every node to its variant's table: one write, shapes sorted within a fixed number of folders.
+
+    A frequent shape is spread over ``salt`` tasks, so no task holds all of it.
+    """
+    spread = F.pmod(F.xxhash64("node_path", "fields"), F.lit(salt))
+    placed = nodes.withColumn("folder", _folder(F.col("shape_id"))).repartition("folder", spread)
+    placed.sortWithinPartitions("folder", "shape_id").write.partitionBy("folder").parquet(path)
+
+
+def read_variant(spark: SparkSession, path: str, shape_id: str, shape: str) -> DataFrame:
+    """The typed table of one shape out of what ``write_variants`` wrote; only its folder is read, and in it only its row groups."""
+    own = spark.read.parquet(path).where(F.col("folder") == _folder(F.lit(shape_id)))
+    return variant_table(own.drop("folder"), shape_id, shape)
+
+
 def variant_schema(shape: str) -> str:
     """DDL of the typed columns of a shape: its scalar members."""
     members = []

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tidewatch import config
 from tidewatch.model.nn import N_FEATURES, Model, Pairs, as_var
-from tidewatch.operators import attack, graph, psi, ranking
+from tidewatch.operators import attack, campaigns, graph, psi, ranking
 from tidewatch.runtime import materialise
 
 #: Nodes whose histories are unfolded into one dense array at a time; bounds memory, not what is scored.
@@ -69,7 +69,7 @@ def _scorer(model: Model, steps: int, explain: bool):
     return run
 
 
-def node_scores(events: DataFrame, model: Model, steps: int = config.GraphConfig.score_max_steps, explain: bool = True) -> DataFrame:
+def node_scores(events: DataFrame, model: Model, steps: int = config.DEFAULTS["graph.score_max_steps"], explain: bool = True) -> DataFrame:
     """(window_id, entity, node_index, logit, graph_logit, attribution) of projected events; every entity of a window is a node."""
     rows = graph.node_rows(events, steps, model.spec.time_mode)
     # read several times below, and far smaller than the events
@@ -86,10 +86,12 @@ def node_scores(events: DataFrame, model: Model, steps: int = config.GraphConfig
     return left.groupBy("window_id").cogroup(right.groupBy("pair_window")).applyInPandas(_scorer(model, steps, explain), _OUT)
 
 
-def findings(events: DataFrame, model: Model, top_k: int = config.ScoringConfig.top_k, rules: list[str] | None = None, steps: int = config.GraphConfig.score_max_steps) -> DataFrame:
-    """One row per window: the finding without campaign identity across windows (see ``campaigns.Registry``).
+def findings(events: DataFrame, model: Model, top_k: int = config.DEFAULTS["scoring.top_k"], rules: list[str] | None = None, steps: int = config.DEFAULTS["graph.score_max_steps"], registry: list[dict] | None = None) -> DataFrame:
+    """One row per window: the finding.
 
-    Suppressed entities leave the ranking and the evidence, nothing else.
+    With a ``registry`` (the rows of a ``campaigns.Registry``, [] for an empty one)
+    windows in time order continue the campaigns they match; without one each is a
+    campaign of its own, named after its first event.  Suppressed entities leave the ranking and the evidence, nothing else.
     """
     # the events' JSON is parsed once and the model runs once, however often the parts below read them
     events = materialise(events, "projected")
@@ -108,7 +110,9 @@ def findings(events: DataFrame, model: Model, top_k: int = config.ScoringConfig.
     weighed = F.transform("attribution", lambda a, i: F.struct((-a).alias("m"), i.alias("i"), F.struct(F.get(names, i).alias("feature"), F.bround(a, 6).alias("attribution")).alias("t"), a.alias("a")))
     top = F.transform(F.filter(F.slice(F.array_sort(weighed), 1, 3), lambda x: x["a"] > 0), lambda x: x["t"])
     kinds = rows.join(events.select("window_id", "id", "kind_type"), ["window_id", "id"]).join(F.broadcast(attack.attack_table(events.sparkSession)), "kind_type")
-    techniques = kinds.groupBy("window_id", "entity").agg(F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct("timestamp", "id", "technique"))), lambda x: x["technique"])).alias("attack_techniques"))
+    # at most one row per technique is collected
+    sighted = kinds.groupBy("window_id", "entity", "technique").agg(F.min(F.struct("timestamp", "id")).alias("first"))
+    techniques = sighted.groupBy("window_id", "entity").agg(F.transform(F.array_sort(F.collect_list(F.struct("first", "technique"))), lambda x: x["technique"]).alias("attack_techniques"))
     key = ["window_id", "entity"]
     empty = lambda c, like: F.coalesce(F.col(c), F.array().cast(like))
     full = ranked.join(proof, key).join(peers, key, "left").join(techniques, key, "left").select(
@@ -132,6 +136,11 @@ def findings(events: DataFrame, model: Model, top_k: int = config.ScoringConfig.
     found = attack.stages(events)
     staged = found.groupBy("window_id").agg(attack.stage_list().alias("observed_attack_stages")).join(attack.next_stage(found), "window_id")
     first = graph.clock(events).select("window_id", F.concat(F.lit("idr-campaign-"), F.substring("first_id", 1, 8)).alias("campaign_id"))
+    if registry is None:
+        first = first.select("*", F.lit(False).alias("continues_campaign"), F.lit(1).cast("bigint").alias("windows_observed"))
+    else:
+        starts = events.groupBy("window_id").agg(F.min("timestamp").alias("start"))
+        first = campaigns.resolve_windows(campaigns.fingerprints(scored), starts, registry)
     out = per.join(first, "window_id").join(listed, "window_id", "left").join(counts, "window_id", "left").join(staged, "window_id", "left")
     if model.feature_stats:
         edges_, base = model.feature_stats["bin_edges"], model.feature_stats["histograms"]
@@ -148,5 +157,5 @@ def findings(events: DataFrame, model: Model, top_k: int = config.ScoringConfig.
         "related_entities", "entity_evidence", "applied_suppressions", "evidence_event_ids", F.lit(model.version).alias("model_version"), "graph_nodes", "graph_relations",
         F.lit(config.ENGINE_VERSION).alias("engine_version"), F.lit(config.schema_hash()).alias("feature_schema_hash"),
         F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSSSSSxxx").alias("scored_at"), "feature_drift",
-        F.lit(False).alias("continues_campaign"), F.lit(1).cast("bigint").alias("windows_observed"),
+        "continues_campaign", "windows_observed",
     )

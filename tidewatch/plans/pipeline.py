@@ -9,7 +9,7 @@ from tidewatch.functions.events import host_of, kind_type_of
 from tidewatch.functions.timestamps import already_utc_iso, with_instant
 from tidewatch.operators import dedup, drift, feature_table, nested, sessions
 from tidewatch.plans.pipeline_sql import SQL  # noqa: F401
-from tidewatch.runtime import table
+from tidewatch.runtime import scratch_path, table
 
 GAP_US = 1_800_000_000
 
@@ -110,6 +110,17 @@ def p5_shapes(spark: SparkSession, d: str) -> DataFrame:
     return nested.shape_catalog(nested.node_table(table(spark, d, "idr_events"), ["row_no"], docs))
 
 
+def p5_variants(spark: SparkSession, d: str) -> DataFrame:
+    """All nodes of labeled_windows and idr_events routed to the tables of their shapes; what each table holds, read from there."""
+    docs = [("kind", False), ("metadata", True)]
+    whole = nested.window_nodes(table(spark, d, "labeled_windows")).select(F.concat_ws("/", "window_id", "event_pos").alias("record"), *nested.NODE_COLUMNS)
+    events = nested.node_table(table(spark, d, "idr_events"), ["row_no"], docs).select(F.col("row_no").cast("string").alias("record"), *nested.NODE_COLUMNS)
+    path, nodes = scratch_path(spark, "variants"), whole.unionByName(events)
+    nested.write_variants(nodes, path)
+    routed = spark.read.parquet(path)
+    return routed.groupBy("shape_id").agg(F.min("shape").alias("shape"), F.count(F.lit(1)).alias("n_nodes"), F.countDistinct("parent_path").alias("n_parent_paths"))
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return dedup.surplus_rows(table(spark, d, "idr_events"))
 
@@ -136,7 +147,7 @@ def p7_events(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        p2_found, p2_cells, p2_features, p2_feature_columns, p3_found, p3_sessions, p4_found, p4_instants, p5_found, p5_nodes, p5_shapes,
+        p2_found, p2_cells, p2_features, p2_feature_columns, p3_found, p3_sessions, p4_found, p4_instants, p5_found, p5_nodes, p5_shapes, p5_variants,
         p6_found, p6_once, p7_found, p7_findings, p7_events,
     )
 }

@@ -278,22 +278,26 @@ def fingerprint_jaccard(spark: SparkSession, d: str) -> DataFrame:
     return scores.select("a", "b", _rounded("score").alias("score"))
 
 
-_REGISTERED = "('2024-01-01', '2024-01-02', '2024-01-03')"
-
-
 @query(f"""WITH {EV}, {ENT}, {NODES}, {_PRINTS.split('days AS')[0].rstrip().rstrip(',')},
 sc AS (SELECT x.window_id AS a, y.window_id AS b, sum(x.weight) / (any_value(s.w) + any_value(t.w) - sum(y.weight)) AS score FROM prints x
-  JOIN prints y ON x.entity = y.entity AND y.window_id IN {_REGISTERED} AND x.window_id NOT IN {_REGISTERED} JOIN sums s ON s.window_id = x.window_id
-  JOIN sums t ON t.window_id = y.window_id GROUP BY 1, 2)
+  JOIN prints y ON x.entity = y.entity AND y.window_id < x.window_id JOIN sums s ON s.window_id = x.window_id JOIN sums t ON t.window_id = y.window_id GROUP BY 1, 2)
 SELECT a, b, score FROM (SELECT a, b, round(score, 6) AS score, row_number() OVER (PARTITION BY a ORDER BY round(score, 6) DESC, b) AS r FROM sc) WHERE r = 1 AND score >= 0.5""")
 def campaign_match(spark: SparkSession, d: str) -> DataFrame:
-    """Later windows against the campaigns of the first three days."""
-    prints = _prints(spark, d)
-    known = F.col("window_id").isin("2024-01-01", "2024-01-02", "2024-01-03")
-    scores = campaigns.jaccard(prints.where(~known).withColumnRenamed("window_id", "a"), prints.where(known).withColumnRenamed("window_id", "b"))
+    """Every window against all earlier ones: the closest at or above the threshold."""
+    prints = materialise(_prints(spark, d), "prints")
+    left, right = prints.withColumnRenamed("window_id", "a"), prints.withColumnRenamed("window_id", "b")
+    scores = campaigns.jaccard(left, right, campaigns.candidates(left, right).where("b < a"))
     return campaigns.best_match(scores.withColumn("score", _rounded("score")))
 
 
+@query()
+def campaign_windows(spark: SparkSession, d: str) -> DataFrame:
+    """The campaign of every window, folded over the windows in time order; no SQL, since a match changes later ones."""
+    events = graph_events(spark, d)
+    starts = events.groupBy("window_id").agg(F.min("timestamp").alias("start"))
+    return campaigns.resolve_windows(campaigns.fingerprints(graph.mentions(events)), starts)
+
+
 @query(f"""WITH {EV}, {ENT}, {REL}, {NODES}, {_EDGES}, {_DECAY}, {_NORMAL}
 SELECT adj.window_id, src AS entity, round(sum(weight * n_events), 4) AS value FROM adj JOIN nodes n ON n.window_id = adj.window_id AND n.entity = dst GROUP BY ALL""")
 def message_pass(spark: SparkSession, d: str) -> DataFrame:

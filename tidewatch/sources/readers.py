@@ -1,16 +1,12 @@
 """Readers: event lines, labeled windows, audit logs, technique bundles.
 
-All are narrow passes over text.  Lines keep their number within the file, which
-takes one task per file (``wholeFile``) only where a caller asks for line
-numbers of unsplit files; else lines are numbered by a running row index.
+Files are read as text, split where they are large, and lines keep their number
+within the file.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidewatch.functions.timestamps import iso_instant
@@ -54,6 +50,7 @@ def envelopes(lines: DataFrame, raw: str = "value") -> DataFrame:
     parsed = base.select(
         *lines.columns, as_text(doc, text, "id").alias("id"), as_text(doc, text, "timestamp").alias("_tw_ts"), as_text(doc, text, "source").alias("source"),
         F.upper(as_text(doc, text, "severity")).alias("severity"), kind.alias("kind_json"), F.when(falsy, "{}").otherwise(meta).alias("metadata_json"), error.alias("error"),
+        (form("timestamp") == "STRING").alias("_tw_string"),
     )
     # only a JSON string names a time
     timed = parsed.withColumn("_tw_us", iso_instant(F.when(F.col("_tw_string"), F.col("_tw_ts"))))
@@ -61,23 +58,21 @@ def envelopes(lines: DataFrame, raw: str = "value") -> DataFrame:
     return timed.withColumn("timestamp", F.timestamp_micros("_tw_us")).withColumn("error", late).drop("_tw_ts", "_tw_us", "_tw_string")
 
 
-def _number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        paths, docs = batch.column("path").to_pylist(), batch.column("content").to_pylist()
-        for path, content in zip(paths, docs, strict=True):
-            rows = [(i, line) for i, line in enumerate(content.decode("utf-8", "replace").splitlines(), 1) if line.strip()]
-            yield pa.record_batch([pa.array([path] * len(rows), pa.string()), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.string())], names=["file", "line_no", "value"])
-
-
 def numbered_lines(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
     """(file, line_no, value): the lines of files that are not blank, numbered from 1 as they stand.
 
-    A file is read by one task; for very large files use ``spark.read.text``.
+    Large files are split: lines are counted per block, and a line's number is its
+    place in its block behind the lines of the blocks before.
     """
-    reader = spark.read.format("binaryFile")
-    if glob:
-        reader = reader.option("pathGlobFilter", glob)
-    return reader.load(path).select("path", "content").mapInArrow(_number, "file string, line_no bigint, value string")
+    reader = spark.read.option("pathGlobFilter", glob) if glob else spark.read
+    where = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_tw_block")]
+    # ids count up by one within a task, and a block's lines are read by one task in order
+    raw = reader.text(path).select(*where, "value", F.monotonically_increasing_id().alias("_tw_id"))
+    blocks = raw.groupBy("file", "_tw_block").agg(F.min("_tw_id").alias("_tw_first"), F.count(F.lit(1)).alias("_tw_n"))
+    before = F.sum("_tw_n").over(Window.partitionBy("file").orderBy("_tw_block").rowsBetween(Window.unboundedPreceding, -1))
+    placed = blocks.select("file", "_tw_block", "_tw_first", F.coalesce(before, F.lit(0)).alias("_tw_before"))
+    line_no = F.col("_tw_id") - F.col("_tw_first") + F.col("_tw_before") + 1
+    return raw.join(placed, ["file", "_tw_block"]).select("file", line_no.alias("line_no"), "value").where(F.btrim("value") != "")
 
 
 def read_events(spark: SparkSession, path: str, mode: str = "FAILFAST") -> DataFrame:

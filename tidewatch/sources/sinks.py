@@ -13,7 +13,9 @@ from pyspark.sql import functions as F
 
 def event_json() -> F.Column:
     """An event as one line of JSON, kind and metadata as objects and not as text."""
-    when = F.date_format("timestamp", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSxxx")
+    # microseconds only where there are any
+    part = F.when(F.unix_micros("timestamp") % 1_000_000 != 0, F.date_format("timestamp", ".SSSSSS")).otherwise("")
+    when = F.concat(F.date_format("timestamp", "yyyy-MM-dd'T'HH:mm:ss"), part, F.date_format("timestamp", "xxx"))
     body = F.struct("id", when.alias("timestamp"), "source", "severity", F.try_parse_json("kind_json").alias("kind"), F.try_parse_json("metadata_json").alias("metadata"))
     return F.to_json(body)
 
