@@ -169,7 +169,12 @@ def _match_batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield _matched(frame).astype({"file_seq": "int32"})
 
 
-def changes(lines: DataFrame) -> DataFrame:
+def file_fields(lines: DataFrame) -> DataFrame:
+    """``profiles`` without the counts, written once: as large as the schemas, and read several times."""
+    return materialise(profiles(lines).select("feed", "file_seq", "field_path", "kind", "sketch", "hashes"), "profiles")
+
+
+def changes(lines: DataFrame, fields: DataFrame | None = None) -> DataFrame:
     """(feed, file_seq, change_kind, field_path, new_path): what changed against the file before.
 
     The file before is the one of the same feed with the next lower file_seq
@@ -179,9 +184,9 @@ def changes(lines: DataFrame) -> DataFrame:
     ``removed`` and ``added``.  ``retyped``: both files know the type and it
     differs.  ``rehashed``: both files have values of feature_schema_hash and they
     differ.  The first file of a feed has no changes; no lines give no rows.
+    ``fields`` are the ``file_fields`` of the lines where they are known already.
     """
-    # as large as the schemas; written once, since the comparison reads it several times
-    fields = materialise(profiles(lines).select("feed", "file_seq", "field_path", "kind", "sketch", "hashes"), "profiles")
+    fields = file_fields(lines) if fields is None else fields
     files = lines.where(F.col("feed").isNotNull() & F.col("file_seq").isNotNull()).select("feed", "file_seq").distinct()
     before = F.lag("file_seq").over(Window.partitionBy("feed").orderBy("file_seq"))
     steps = files.select("feed", "file_seq", before.alias("prev_seq")).where(F.col("prev_seq").isNotNull())
@@ -213,7 +218,7 @@ def changes(lines: DataFrame) -> DataFrame:
         .where(F.col("type").isNotNull() & (F.size("left") > 0) & (F.size("came") > 0))
         .select(*base, "left", "came")
     )
-    renames = groups.mapInPandas(_match_batches, "feed string, file_seq int, field_path string, new_path string")
+    renames = materialise(groups.mapInPandas(_match_batches, "feed string, file_seq int, field_path string, new_path string"), "renames")
     renamed = renames.select(*base, F.lit("renamed").alias("change_kind"), "field_path", "new_path")
     used = renames.select(*base, F.explode(F.array("field_path", "new_path")).alias("field_path"))
     plain = moved.join(used, [*base, "field_path"], "left_anti").select(
@@ -259,9 +264,10 @@ def canonical_fields(lines: DataFrame) -> DataFrame:
 
     One group per feed, as large as its files times their fields, not its lines.
     """
-    renamed = changes(lines).where(F.col("change_kind") == "renamed")
+    known = file_fields(lines)
+    renamed = changes(lines, known).where(F.col("change_kind") == "renamed")
     pairs = renamed.groupBy("feed", "file_seq").agg(F.sort_array(F.collect_list(F.struct("field_path", "new_path"))).alias("p"))
-    fields = profiles(lines).groupBy("feed", "file_seq").agg(F.sort_array(F.collect_set("field_path")).alias("paths"))
+    fields = known.groupBy("feed", "file_seq").agg(F.sort_array(F.collect_set("field_path")).alias("paths"))
     none = F.array().cast("array<string>")
     steps = fields.join(pairs, ["feed", "file_seq"], "left").select(
         "feed", "file_seq", "paths", F.coalesce("p.field_path", none).alias("renamed_from"), F.coalesce("p.new_path", none).alias("renamed_to")
@@ -282,12 +288,22 @@ def _values(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([pa.array(list(c), t) for c, t in zip(columns, types, strict=True)], names=names)
 
 
+def unreadable_lines(lines: DataFrame) -> DataFrame:
+    """(line_id, feed, file_seq, problem) of the lines that no table is made of: no place named, or no JSON object."""
+    nowhere = F.col("feed").isNull() | F.col("file_seq").isNull()
+    shape = F.schema_of_variant(F.try_parse_json("payload"))
+    # text the strict parser refuses may still be an object to the lenient one (a repeated key, say)
+    broken = ~F.coalesce(shape.startswith("OBJECT"), F.json_object_keys("payload").isNotNull())
+    problem = F.when(nowhere, "no feed or file_seq").when(broken, "payload is no JSON object")
+    return lines.select("line_id", "feed", "file_seq", problem.alias("problem")).where(F.col("problem").isNotNull())
+
+
 def unified_lines(lines: DataFrame) -> DataFrame:
     """(line_id, record_sort, fields): every line under the unified names, one row per line_id.
 
     ``record_sort`` is ``finding`` or ``event`` by the feed's name; ``fields`` maps
     canonical path to value as text (lists and numbers as JSON).  A line without a
-    readable payload has no row.
+    readable payload has no row here but one in ``unreadable_lines``.
     """
     # a line landed twice under one line_id counts once; which copy is the same whichever is taken
     raw = lines.where(F.col("feed").isNotNull() & F.col("file_seq").isNotNull()).select("line_id", "feed", "file_seq", "payload")

@@ -134,6 +134,11 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return drift.changes(table(spark, d, "landed_lines"))
 
 
+def p7_unreadable(spark: SparkSession, d: str) -> DataFrame:
+    """Landed lines that no table is made of."""
+    return drift.unreadable_lines(table(spark, d, "landed_lines"))
+
+
 def p7_findings(spark: SparkSession, d: str) -> DataFrame:
     """The landed findings as one table under unified names and types."""
     return drift.typed_table(drift.unified_lines(table(spark, d, "landed_lines")), "finding", drift.FINDING_COLUMNS)
@@ -148,6 +153,6 @@ QUERIES = {
     f.__name__: f
     for f in (
         p2_found, p2_cells, p2_features, p2_feature_columns, p3_found, p3_sessions, p4_found, p4_instants, p5_found, p5_nodes, p5_shapes, p5_variants,
-        p6_found, p6_once, p7_found, p7_findings, p7_events,
+        p6_found, p6_once, p7_found, p7_unreadable, p7_findings, p7_events,
     )
 }

@@ -84,6 +84,20 @@ walk(window_id, event_pos, root, parent, path, doc, depth) AS (
       FROM (SELECT *, unnest(range(json_array_length(doc)::BIGINT)) AS i FROM walk WHERE json_type(doc) = 'ARRAY')))
   WHERE decoded IS NOT NULL OR json_type(child) IN ('OBJECT', 'ARRAY'))"""
 
+#: Fields of each file, and those that came or left against the file before.  Renames where one field left and one came only.
+_DRIFT = """leaf AS (SELECT feed, file_seq, replace(t.fullkey[3:], '"', '') AS path, t.type, t.atom ->> '$' AS value FROM landed_lines l, json_tree(l.payload) t
+  WHERE feed IS NOT NULL AND file_seq IS NOT NULL AND t.type <> 'OBJECT' AND NOT contains(t.fullkey, '[')),
+named AS (SELECT feed, file_seq, path, list_sort(list(DISTINCT CASE type WHEN 'VARCHAR' THEN 'text' WHEN 'BOOLEAN' THEN 'boolean' WHEN 'ARRAY' THEN 'list' WHEN 'DOUBLE' THEN 'fraction'
+    ELSE 'integer' END) FILTER (type <> 'NULL')) AS kinds, list_sort(list(DISTINCT value) FILTER (type = 'VARCHAR' AND path = 'feature_schema_hash')) AS hashes FROM leaf GROUP BY ALL),
+field AS (SELECT feed, file_seq, path, hashes, CASE WHEN kinds IS NULL THEN NULL WHEN len(kinds) = 1 THEN kinds[1] WHEN kinds = ['fraction', 'integer'] THEN 'fraction' ELSE 'text' END AS kind FROM named),
+step AS (SELECT feed, file_seq, lag(file_seq) OVER (PARTITION BY feed ORDER BY file_seq) AS prev FROM (SELECT DISTINCT feed, file_seq FROM landed_lines WHERE feed IS NOT NULL AND file_seq IS NOT NULL)),
+after AS (SELECT f.*, true AS here FROM field f JOIN step s USING (feed, file_seq) WHERE prev IS NOT NULL),
+before AS (SELECT s.feed, s.file_seq, f.path, f.kind AS old_kind, f.hashes AS old_hashes, true AS there FROM step s JOIN field f ON f.feed = s.feed AND f.file_seq = s.prev),
+met AS (SELECT *, here IS NOT NULL AS is_new, there IS NOT NULL AS is_old FROM after FULL JOIN before USING (feed, file_seq, path)),
+moved AS (SELECT *, regexp_replace(path, '[^.]*$', '') AS parent, coalesce(kind, old_kind) AS sort FROM met WHERE NOT (is_new AND is_old)),
+lone AS (SELECT feed, file_seq, max(path) FILTER (is_old) AS gone, max(path) FILTER (is_new) AS come FROM moved WHERE sort IS NOT NULL
+  GROUP BY feed, file_seq, parent, sort HAVING count_if(is_old) = 1 AND count_if(is_new) = 1)"""
+
 SQL = {
     "p2_found": f"SELECT DISTINCT {HOST} AS host, {KIND} AS kind_type FROM idr_events",
     "p2_cells": f"""WITH {INSTANTS}, {_SURPLUS} SELECT {HOST} AS host, {KIND} AS kind_type, count(*) AS n_events,
@@ -96,6 +110,13 @@ SQL = {
   WHERE utc_us IS NOT NULL AND NOT coalesce(regexp_full_match("timestamp", '{_UTC_ISO}'), false)""",
     "p4_instants": f"WITH {INSTANTS} SELECT row_no, utc_us FROM inst",
     "p5_found": f"WITH RECURSIVE {_NESTED} SELECT window_id, CAST(event_pos AS INT) AS event_pos, parent AS parent_path, path AS node_path FROM walk WHERE depth > 0 AND json_type(doc) = 'OBJECT'",
+    "p7_found": f"""WITH {_DRIFT} SELECT feed, file_seq, 'retyped' AS change_kind, path AS field_path, '' AS new_path FROM met WHERE is_new AND is_old AND kind <> old_kind
+  UNION ALL SELECT feed, file_seq, 'rehashed', path, '' FROM met WHERE is_new AND is_old AND path = 'feature_schema_hash' AND hashes <> old_hashes
+  UNION ALL SELECT feed, file_seq, 'renamed', gone, come FROM lone
+  UNION ALL SELECT feed, file_seq, CASE WHEN is_old THEN 'removed' ELSE 'added' END, path, '' FROM moved m
+    WHERE NOT EXISTS (FROM lone l WHERE l.feed = m.feed AND l.file_seq = m.file_seq AND m.path IN (l.gone, l.come))""",
+    "p7_unreadable": """SELECT line_id, feed, file_seq, CASE WHEN feed IS NULL OR file_seq IS NULL THEN 'no feed or file_seq' ELSE 'payload is no JSON object' END AS problem
+  FROM landed_lines WHERE feed IS NULL OR file_seq IS NULL OR payload IS NULL OR NOT json_valid(payload) OR json_type(CASE WHEN json_valid(payload) THEN payload END) <> 'OBJECT'""",
     "p6_found": f"WITH {_SURPLUS} SELECT row_no FROM surplus",
     "p6_once": f"WITH {_SURPLUS} SELECT * REPLACE (epoch_us(received_at) AS received_at) FROM idr_events ANTI JOIN surplus USING (row_no)",
 }
