@@ -10,6 +10,8 @@ from tidewatch.functions.entities import normalised_delta
 from tidewatch.operators import attack, campaigns, graph, metrics, psi, ranking, reputation
 from tidewatch.plans.adapter import ENT, EV, NODES, REL, envelope, graph_events, projected
 from tidewatch.runtime import materialise, table
+from tidewatch.sources import builders, wire
+from tidewatch.sources.simulator import SCENARIOS, simulated_events
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -435,12 +437,39 @@ def octet_reversal(spark: SparkSession, d: str) -> DataFrame:
     return reputation.octet_reversals(_ips(spark, d), "ip", table(spark, d, "prefix_asn"), table(spark, d, "asn_trust"))
 
 
-@query("""SELECT * FROM (SELECT kind ->> '$.prefix' AS prefix, count(*) AS n, min(row_no) AS first_row FROM idr_events WHERE kind ->> '$.prefix' IS NOT NULL GROUP BY ALL) WHERE n >= 3""")
+def _prefixes(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "idr_events").select("row_no", F.get_json_object("kind", "$.prefix").alias("prefix"), "id", "source", "severity", F.col("kind").alias("kind_json"), F.col("metadata").alias("metadata_json"))
+
+
+@query("""SELECT row_number() OVER (ORDER BY n DESC, first_row) - 1 AS rank, * FROM (SELECT kind ->> '$.prefix' AS prefix, count(*) AS n, min(row_no) AS first_row
+  FROM idr_events WHERE kind ->> '$.prefix' <> '' GROUP BY ALL) WHERE n >= 3""")
 def audit_clusters(spark: SparkSession, d: str) -> DataFrame:
-    """Prefixes reported at least three times."""
-    prefix = F.get_json_object("kind", "$.prefix").alias("prefix")
-    rows = table(spark, d, "idr_events").select(prefix, "row_no").where(F.col("prefix").isNotNull())
-    return rows.groupBy("prefix").agg(F.count(F.lit(1)).alias("n"), F.min("row_no").alias("first_row")).where("n >= 3")
+    """Prefixes reported at least three times, ranked by how often."""
+    return builders.audit_clusters(_prefixes(spark, d).select("row_no", "prefix"))
+
+
+@query()
+def kill_chain_windows(spark: SparkSession, d: str) -> DataFrame:
+    """Windows from a simulated campaign as the template, with clusters of idr_events around them."""
+    grid = spark.createDataFrame([(1, 7, "v0_easy")], "label int, seed int, scenario string")
+    found = _prefixes(spark, d)
+    around = builders.background(found.where(F.col("prefix").isNotNull()), builders.audit_clusters(found.select("row_no", "prefix")))
+    return builders.kill_chain_windows(spark, simulated_events(spark, grid), around=around)
+
+
+@query()
+def harness_windows(spark: SparkSession, d: str) -> DataFrame:
+    """Windows of the labelling rule, as many of either intent as there are suppliers."""
+    return builders.harness_windows(spark, table(spark, d, "supplier").count())
+
+
+@query(f"""SELECT coalesce(kind ->> '$.type', '') AS kind_type, coalesce(kind ->> '$.type', '') NOT IN ({', '.join(repr(k) for k in wire.FIELDS)}) AS unknown_kind, count(*) AS n
+  FROM idr_events GROUP BY ALL""")
+def wire_kinds(spark: SparkSession, d: str) -> DataFrame:
+    """Events per kind, and whether the wire format knows it."""
+    events = wire.with_wire_problems(table(spark, d, "idr_events").select("kind"), "kind")
+    kind = F.coalesce(F.get_json_object("kind", "$.type"), F.lit("")).alias("kind_type")
+    return events.groupBy(kind, "unknown_kind").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(f"WITH {EV} SELECT window_id, string_agg(DISTINCT kind_type, ',' ORDER BY kind_type) AS modalities, count(*) AS n_events FROM evx GROUP BY ALL")
@@ -506,8 +535,6 @@ def stream_finding(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def simulated_windows(spark: SparkSession, d: str) -> DataFrame:
     """Both labels of every scenario for as many seeds as there are suppliers."""
-    from tidewatch.sources.simulator import SCENARIOS, simulated_events
-
     seeds = table(spark, d, "supplier").select(F.col("s_suppkey").alias("seed"))
     grid = seeds.select("seed", F.explode(F.array(F.lit(0), F.lit(1))).alias("label")).select("label", "seed", F.explode(F.array(*[F.lit(s) for s in SCENARIOS])).alias("scenario"))
     return simulated_events(spark, grid)
