@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from tidewatch.functions.events import canonical_id, host_of
 from tidewatch.functions.timestamps import known_zones, with_instant
 from tidewatch.operators import dedup, drift, feature_table, nested, sessions
+from tidewatch.plans import pipeline
 
 T0 = dt.datetime(2025, 3, 1, 12, 0, 0, tzinfo=dt.UTC)
 
@@ -273,3 +274,38 @@ def test_deep_json_and_variants(spark, tmp_path):
     assert sum(t.count() for t in tables.values()) == 50 and len(tables) == 3
     held = next(t for s, t in tables.items() if '"n"' in s).select("row_no", "value.n").collect()
     assert len(held) == 20 and all(r["n"] == r["row_no"] for r in held)
+
+
+def test_variants_are_written_typed(spark, tmp_path):
+    deep = "[" * 3_000 + "1" + "]" * 3_000
+    doc = {
+        "": "e", "a`b.c": 1, "x": 1, "X": 2.5, "ok": True, "none": None, "big": 10**20, "tags": ["p", None, "q"], "ports": [22, 2**62], "far": [10**19, 2**70], "shares": [0.5, None],
+        "marks": [False], "empty": [], "nulls": [None, None], "mixed": [1, "s", {"k": [7]}, [2.5]], "rows": [{"k": [7]}, None, {"k": [8]}], "odd": "\ud800!", "text": '{"l": [1, 2]}', "o": {},
+    }
+    rows = [(0, json.dumps(doc)[:-1] + f', "deep": {deep}}}'), (1, json.dumps({"k": [9], "\ud800": {}})), (2, None)]
+    nodes = nested.node_table(spark.createDataFrame(rows, "row_no long, metadata string"), ["row_no"], [("metadata", True)])
+    path = str(tmp_path / "typed")
+    routed = nested.write_variants(nodes, path)
+    assert routed.schema["fields"].dataType.simpleString() == nested.FIELDS_DDL == spark.read.parquet(path).schema["fields"].dataType.simpleString()
+    tables = {r["shape"]: nested.read_variant(spark, path, r["shape_id"], r["shape"]) for r in nested.shape_catalog(routed).collect()}
+    assert all("from_json" not in t._jdf.queryExecution().toString() for t in tables.values())
+    held = {r["node_path"]: dict(zip(r["value"].__fields__, r["value"], strict=True)) if r["value"] else {} for t in tables.values() for r in t.where("row_no = 0").collect()}
+    lists = {f"metadata.{at}": {"k": [n]} for at, n in (("mixed[2]", 7), ("rows[0]", 7), ("rows[2]", 8))}
+    want = {k: v for k, v in doc.items() if k not in ("rows", "text", "o")} | {
+        "big": str(10**20), "far": [str(10**19), str(2**70)], "nulls": "[null,null]", "mixed": '[1,"s",null,[2.5]]', "odd": "\ufffd!", "deep": deep,
+    }
+    assert held == {"metadata": want, "metadata.text": {"l": [1, 2]}, "metadata.o": {}} | lists
+    assert [type(held["metadata"][k]) for k in ("x", "X", "ok", "ports", "marks")] == [int, float, bool, list, list]
+    assert {r["node_path"] for r in routed.where("row_no = 1").collect()} == {"metadata", "metadata.\ufffd"}
+
+
+def test_found_objects_come_from_their_variants(spark, tmp_path):
+    kinds = [None, "[1]", '{"type": "t", "o": {"l": [{"x": 1}, 2, {"y": {}}]}}', '{"type": "t"}']
+    windows = spark.createDataFrame([("w", [(k, '{"t": "[{}]"}') for k in kinds]), ("v", []), ("u", None)], "window_id string, events array<struct<kind:string,metadata:string>>")
+    windows.write.parquet(str(tmp_path / "labeled_windows.parquet"))
+    found = pipeline.p5_found(spark, str(tmp_path))
+    assert found.inputFiles() and all("-variants-" in f for f in found.inputFiles())
+    below = [("kind", "kind.o"), ("kind.o", "kind.o.l[0]"), ("kind.o", "kind.o.l[2]"), ("kind.o.l[2]", "kind.o.l[2].y")]
+    assert sorted(map(tuple, found.collect())) == sorted([("w", 2, *b) for b in below] + [("w", i, "metadata", "metadata.t[0]") for i in range(4)])
+    windows.where("window_id <> 'w'").write.parquet(str(tmp_path / "none" / "labeled_windows.parquet"))
+    assert pipeline.p5_found(spark, str(tmp_path / "none")).count() == 0

@@ -5,12 +5,19 @@ have one state per JSON type, a list the set of its elements' states, an object
 its sorted (key, state) pairs.  Objects with the same state have the same
 shape and go to the same typed table; all of them keep the supertype's keys
 (record, position, path) and the path of their parent.
+
+Values are typed where the record is read: ``fields`` holds them in one array
+per type, and which member lies where follows from the shape
+(``variant_columns``), so one write takes the typed rows of every shape and no
+table is parsed again.
 """
 
 from __future__ import annotations
 
+import itertools
 import json
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -20,23 +27,29 @@ from pyspark.sql import functions as F
 
 NODE_COLUMNS = ["parent_path", "node_path", "depth", "shape_id", "shape", "fields"]
 _SCALAR = {str: "s", bool: "b", int: "i", float: "f", type(None): "n"}
-_TYPES = {"s": "string", "b": "boolean", "i": "bigint", "f": "double", "n": "string"}
+#: By state: the type of a member's column and the array of ``fields`` it is kept in; g is an integer beyond 64 bits, kept as its digits.
+_TYPES = {"s": ("string", "texts"), "i": ("bigint", "integers"), "f": ("double", "fractions"), "b": ("boolean", "flags"), "g": ("string", "texts")}
+#: The arrays of ``fields``; lists of one scalar type are kept whole in those of the second half.
+_ARRAYS = ["texts", "integers", "fractions", "flags", "text_lists", "integer_lists", "fraction_lists", "flag_lists"]
+_ARROW = [pa.string(), pa.int64(), pa.float64(), pa.bool_()] * 2
+_DDL = ["string", "bigint", "double", "boolean"]
+FIELDS_DDL = "struct<" + ",".join(f"{n}:array<{t}>" for n, t in zip(_ARRAYS, _DDL + [f"array<{t}>" for t in _DDL], strict=True)) + ">"
 #: Transitions that a worker remembers; beyond that it starts afresh.
 MEMO = 100_000
 
 
 class Automaton:
-    """States of objects, named by a hash of the transition that reaches them."""
+    """States of objects, named by a hash of the transition that reaches them, each with the plan by which its values are typed."""
 
     def __init__(self) -> None:
-        self.states: dict[str, str] = {}
+        self.states: dict[str, tuple[str, list]] = {}
 
-    def state(self, transition: str) -> str:
-        found = self.states.get(transition)
+    def state(self, shape: str, members: list[tuple[str, str]]) -> tuple[str, list]:
+        found = self.states.get(shape)
         if found is None:
             if len(self.states) >= MEMO:
                 self.states.clear()
-            found = self.states[transition] = xxhash.xxh64_hexdigest(transition)
+            found = self.states[shape] = xxhash.xxh64_hexdigest("{" + shape + "}"), _plan(members)
         return found
 
 
@@ -122,7 +135,96 @@ def _decoded_text(value: str):
     return value
 
 
-def walk(top: dict, root: str, text_is_json: bool, automaton: Automaton) -> list[tuple]:
+def _scalar_state(value) -> str:
+    state = _SCALAR[type(value)]
+    return "g" if state == "i" and not -(1 << 63) <= value < 1 << 63 else state
+
+
+def _kinds(state: str) -> set[str]:
+    """The states of the elements of a list with this state."""
+    out, level, start = set(), 0, 1
+    for at, sign in enumerate(state):
+        if level == 1 and sign in "|]" and at > start:
+            out.add(state[start:at])
+            start = at + 1
+        level += {"[": 1, "]": -1}.get(sign, 0)
+    return out
+
+
+def _column(state: str) -> tuple[str, str | None] | None:
+    """Type of the column of a member with this state, and its array of ``fields``; a null needs no array.
+
+    Lists of one scalar type, with or without nulls, are typed; so are empty ones,
+    as text.  Objects and lists of them have no column, since objects are rows
+    whose paths tell their positions.  Any other list is kept as JSON text, with
+    null for the objects in it.
+    """
+    if state[0] != "[":
+        return ("string", None) if state == "n" else _TYPES.get(state)
+    kinds = _kinds(state)
+    if not kinds:
+        return "array<string>", "text_lists"
+    held = kinds - {"n"}
+    if len(held) == 1 and held <= _TYPES.keys():
+        kind, array = _TYPES[held.pop()]
+        return f"array<{kind}>", f"{array[:-1]}_lists"
+    return None if held and all(k[0] != "[" and k not in _TYPES for k in held) else ("string", "texts")
+
+
+def _list_text(value: list) -> str:
+    """JSON text of a list, however deep, with null for the objects in it."""
+    out, todo = [], [(value,)]
+    while todo:
+        item = todo.pop()
+        if type(item) is str:
+            out.append(item)
+            continue
+        (item,) = item
+        if type(item) is list:
+            out.append("[")
+            todo.append("]")
+            for k in range(len(item) - 1, -1, -1):
+                todo.append((item[k],))
+                if k:
+                    todo.append(",")
+        else:
+            out.append("null" if type(item) is dict else json.dumps(item))
+    return "".join(out)
+
+
+def _digits(value: list) -> list:
+    return [None if x is None else str(x) for x in value]
+
+
+def _plan(members: list[tuple[str, str]]) -> list[tuple]:
+    """(key, place of its array, function to apply or None) of each member of a shape that is kept in ``fields``."""
+    out = []
+    for key, state in members:
+        column = _column(state)
+        if column and column[1]:
+            apply = str if state == "g" else None
+            if state[0] == "[":
+                apply = _list_text if column[0] == "string" else _digits if "g" in _kinds(state) else None
+            out.append((key, _ARRAYS.index(column[1]), apply))
+    return out
+
+
+_NOTHING = ()
+
+
+def _typed(value: dict, plan: list[tuple]) -> list:
+    """The arrays of ``fields`` for an object."""
+    arrays: list = [_NOTHING] * len(_ARRAYS)
+    for key, at, apply in plan:
+        item = apply(value[key]) if apply else value[key]
+        if arrays[at]:
+            arrays[at].append(item)
+        else:
+            arrays[at] = [item]
+    return arrays
+
+
+def walk(top: dict, root: str, text_is_json: bool, automaton: Automaton, as_text: bool = False) -> list[tuple]:
     """(parent_path, node_path, depth, shape_id, shape, fields) of ``top`` and every object below it.
 
     Iterative in two passes: down to list the nodes, then back up to find the
@@ -152,12 +254,13 @@ def walk(top: dict, root: str, text_is_json: bool, automaton: Automaton) -> list
         value, parent, path, depth, holder, key = nodes[i]
         if type(value) is dict:
             states = below[i]
-            shape = ",".join(f"{json.dumps(k)}:{states.get(k) or _SCALAR[type(value[k])]}" for k in sorted(value))
-            name = automaton.state("{" + shape + "}")
-            scalars = {k: v for k, v in value.items() if k not in states}
-            out.append((parent, path, depth, name, shape, json.dumps(scalars)))
+            members = [(k, states.get(k) or _scalar_state(value[k])) for k in sorted(value)]
+            shape = ",".join(f"{json.dumps(k)}:{state}" for k, state in members)
+            name, plan = automaton.state(shape, members)
+            fields = json.dumps({k: v for k, v in value.items() if k not in states}) if as_text else _typed(value, plan)
+            out.append((parent, path, depth, name, shape, fields))
         else:
-            kinds = below[i] | {_SCALAR[type(x)] for x in value if type(x) in _SCALAR}
+            kinds = below[i] | {_scalar_state(x) for x in value if type(x) in _SCALAR}
             name = "[" + "|".join(sorted(kinds)) + "]"
         if holder >= 0:
             if type(nodes[holder][0]) is dict:
@@ -168,7 +271,28 @@ def walk(top: dict, root: str, text_is_json: bool, automaton: Automaton) -> list
     return out
 
 
-def _walk_batches(keys: list[str], docs: list[tuple[str, bool]], include_top: bool, schema: pa.Schema):
+def _texts(values: list) -> pa.Array:
+    """Half a surrogate pair, which JSON can escape but UTF-8 not hold, becomes U+FFFD."""
+    try:
+        return pa.array(values, pa.string())
+    except UnicodeEncodeError:
+        return pa.array([v and v.encode("utf-16", "surrogatepass").decode("utf-16", "replace") for v in values], pa.string())
+
+
+def _lists(values: list, of: pa.DataType, levels: int) -> pa.Array:
+    """An array of the lists in ``values``, which are lists of lists at two levels; nothing is null, which takes less room."""
+    ends = pa.array(itertools.accumulate(map(len, values), initial=0), pa.int32())
+    flat = list(itertools.chain.from_iterable(values))
+    below = _lists(flat, of, 1) if levels > 1 else _texts(flat) if of == pa.string() else pa.array(flat, of)
+    return pa.ListArray.from_arrays(ends, below, mask=pa.array([v is _NOTHING for v in values], pa.bool_()))
+
+
+def _fields(rows: list[list]) -> pa.Array:
+    made = [_lists([r[at] for r in rows], of, 1 if at < len(_DDL) else 2) for at, of in enumerate(_ARROW)]
+    return pa.StructArray.from_arrays(made, names=_ARRAYS)
+
+
+def _walk_batches(keys: list[str], docs: list[tuple[str, bool]], include_top: bool, as_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = Automaton()
         for batch in batches:
@@ -179,38 +303,40 @@ def _walk_batches(keys: list[str], docs: list[tuple[str, bool]], include_top: bo
                     value = decode(text)
                     if type(value) is not dict:
                         continue
-                    found = walk(value, doc, text_is_json, automaton)
+                    found = walk(value, doc, text_is_json, automaton, as_text)
                     if not include_top:
                         found = found[1:]
                     rows.extend(found)
                     take.extend([i] * len(found))
+            if not as_text:
+                # equal shapes side by side: what is shuffled is compressed in blocks
+                order = sorted(range(len(rows)), key=lambda at: rows[at][4])
+                rows, take = [rows[at] for at in order], [take[at] for at in order]
+            parent, path, depth, shape_id, shape, fields = zip(*rows, strict=True) if rows else [()] * len(NODE_COLUMNS)
+            made = [_texts(parent), _texts(path), pa.array(depth, pa.int32()), _texts(shape_id), _texts(shape), _texts(fields) if as_text else _fields(fields)]
             kept = [batch.column(k).take(pa.array(take, pa.int64())) for k in keys]
-            columns = zip(*rows, strict=True) if rows else [[]] * len(NODE_COLUMNS)
-            made = [pa.array(list(c), schema.field(n).type) for n, c in zip(NODE_COLUMNS, columns, strict=True)]
-            yield pa.record_batch([*kept, *made], schema=pa.schema([*(pa.field(k, batch.schema.field(k).type) for k in keys), *(schema.field(n) for n in NODE_COLUMNS)]))
+            yield pa.record_batch([*kept, *made], names=[*keys, *NODE_COLUMNS])
 
     return run
 
 
-_NODE_SCHEMA = pa.schema(
-    [("parent_path", pa.string()), ("node_path", pa.string()), ("depth", pa.int32()), ("shape_id", pa.string()), ("shape", pa.string()), ("fields", pa.string())]
-)
-
-
-def node_table(df: DataFrame, keys: list[str], docs: list[tuple[str, bool]], include_top: bool = True) -> DataFrame:
+def node_table(df: DataFrame, keys: list[str], docs: list[tuple[str, bool]], include_top: bool = True, as_text: bool = False) -> DataFrame:
     """Supertype table: one row per JSON object in the ``docs`` columns of ``df``.
 
     ``keys`` name the columns that identify a record; ``docs`` are pairs of a
     column of JSON text and whether text below it that is itself a JSON object or
     list counts as that.  Text that is null, no JSON, or at its top no object has
-    no nodes; null and scalar list elements keep their positions.  ``fields`` is
-    the JSON text of the object's own scalars, with nested members left out.
+    no nodes; null and scalar list elements keep their positions.  ``fields`` has
+    the object's own scalars and lists of scalars, typed (see
+    ``variant_columns``), or with ``as_text`` the JSON text of its scalars, nested
+    members left out.
     A narrow pass: nothing is shuffled.
     """
     types = {f.name: f.dataType.simpleString() for f in df.schema}
-    ddl = ", ".join([f"`{k}` {types[k]}" for k in keys] + ["parent_path string", "node_path string", "depth int", "shape_id string", "shape string", "fields string"])
+    kinds = ["string", "string", "int", "string", "string", "string" if as_text else FIELDS_DDL]
+    ddl = ", ".join([f"`{k}` {types[k]}" for k in keys] + [f"{n} {t}" for n, t in zip(NODE_COLUMNS, kinds, strict=True)])
     needed = df.select(*[F.col(f"`{c}`") for c in [*keys, *(d for d, _ in docs)]])
-    return needed.mapInArrow(_walk_batches(keys, docs, include_top, _NODE_SCHEMA), ddl)
+    return needed.mapInArrow(_walk_batches(keys, docs, include_top, as_text), ddl)
 
 
 def exploded_events(windows: DataFrame) -> DataFrame:
@@ -222,10 +348,10 @@ def exploded_events(windows: DataFrame) -> DataFrame:
     return windows.select("window_id", F.posexplode("events").alias("event_pos", "e")).select("window_id", "event_pos", "e.*")
 
 
-def window_nodes(windows: DataFrame, include_top: bool = True) -> DataFrame:
+def window_nodes(windows: DataFrame, include_top: bool = True, as_text: bool = False) -> DataFrame:
     """``node_table`` over kind and metadata of the events of labeled windows."""
     docs = [("kind", False), ("metadata", True)]
-    return node_table(exploded_events(windows), ["window_id", "event_pos"], docs, include_top)
+    return node_table(exploded_events(windows), ["window_id", "event_pos"], docs, include_top, as_text)
 
 
 def shape_catalog(nodes: DataFrame) -> DataFrame:
@@ -241,14 +367,16 @@ def _folder(shape_id: Column) -> Column:
     return F.pmod(F.xxhash64(shape_id), F.lit(VARIANT_FOLDERS)).cast("int")
 
 
-def write_variants(nodes: DataFrame, path: str, salt: int = 16) -> None:
-    """Route every node to its variant's table: one write, shapes sorted within a fixed number of folders.
+def write_variants(nodes: DataFrame, path: str, salt: int = 16) -> DataFrame:
+    """Route every node, typed, to its variant's table: one write, shapes sorted within a fixed number of folders.
 
     A frequent shape is spread over ``salt`` tasks, so no task holds all of it.
+    Gives back what was written, all variants together; no nodes are an empty table.
     """
     spread = F.pmod(F.xxhash64("node_path", "fields"), F.lit(salt))
     placed = nodes.withColumn("folder", _folder(F.col("shape_id"))).repartition("folder", spread)
     placed.sortWithinPartitions("folder", "shape_id").write.partitionBy("folder").parquet(path)
+    return nodes.sparkSession.read.schema(placed.schema).parquet(path)
 
 
 def read_variant(spark: SparkSession, path: str, shape_id: str, shape: str) -> DataFrame:
@@ -257,13 +385,16 @@ def read_variant(spark: SparkSession, path: str, shape_id: str, shape: str) -> D
     return variant_table(own.drop("folder"), shape_id, shape)
 
 
-def variant_schema(shape: str) -> str:
-    """DDL of the typed columns of a shape: its scalar members."""
-    members = []
+def variant_columns(shape: str) -> list[tuple[str, str, str | None, int]]:
+    """(key, type, array of ``fields``, position in it) of the columns of a shape: its scalars and lists of scalars."""
+    used: Counter = Counter()
+    out = []
     for key, state in parse_shape(shape):
-        if state in _TYPES:
-            members.append(f"`{key.replace('`', '``')}` {_TYPES[state]}")
-    return ", ".join(members)
+        column = _column(state)
+        if column:
+            out.append((key, *column, used[column[1]]))
+            used[column[1]] += 1
+    return out
 
 
 def parse_shape(shape: str) -> list[tuple[str, str]]:
@@ -281,8 +412,7 @@ def parse_shape(shape: str) -> list[tuple[str, str]]:
 
 
 def variant_table(nodes: DataFrame, shape_id: str, shape: str) -> DataFrame:
-    """The typed table of one shape: the supertype's columns and a struct ``value`` of its scalars."""
+    """The typed table of one shape: the supertype's columns and a struct ``value`` of its members."""
     own = nodes.where(F.col("shape_id") == shape_id).drop("shape")
-    ddl = variant_schema(shape)
-    value = F.from_json("fields", ddl) if ddl else F.lit(None)
-    return own.withColumn("value", value).drop("fields")
+    columns = [(F.get(f"fields.{array}", F.lit(at)) if array else F.lit(None).cast(kind)).alias(key) for key, kind, array, at in variant_columns(shape)]
+    return own.withColumn("value", F.struct(*columns) if columns else F.lit(None)).drop("fields")

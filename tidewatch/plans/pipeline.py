@@ -95,13 +95,14 @@ def p4_instants(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    nodes = nested.window_nodes(table(spark, d, "labeled_windows"), include_top=False)
-    return nodes.select("window_id", "event_pos", "parent_path", "node_path")
+    """The nested objects of labeled_windows, read from the tables of their variants, top objects left out."""
+    routed = nested.write_variants(nested.window_nodes(table(spark, d, "labeled_windows")), scratch_path(spark, "variants"))
+    return routed.where(F.col("parent_path").isNotNull()).select("window_id", "event_pos", "parent_path", "node_path")
 
 
 def p5_nodes(spark: SparkSession, d: str) -> DataFrame:
     """The supertype table of the nested objects of labeled_windows, top objects included."""
-    return nested.window_nodes(table(spark, d, "labeled_windows"))
+    return nested.window_nodes(table(spark, d, "labeled_windows"), as_text=True)
 
 
 def p5_shapes(spark: SparkSession, d: str) -> DataFrame:
@@ -115,9 +116,7 @@ def p5_variants(spark: SparkSession, d: str) -> DataFrame:
     docs = [("kind", False), ("metadata", True)]
     whole = nested.window_nodes(table(spark, d, "labeled_windows")).select(F.concat_ws("/", "window_id", "event_pos").alias("record"), *nested.NODE_COLUMNS)
     events = nested.node_table(table(spark, d, "idr_events"), ["row_no"], docs).select(F.col("row_no").cast("string").alias("record"), *nested.NODE_COLUMNS)
-    path, nodes = scratch_path(spark, "variants"), whole.unionByName(events)
-    nested.write_variants(nodes, path)
-    routed = spark.read.parquet(path)
+    routed = nested.write_variants(whole.unionByName(events), scratch_path(spark, "variants"))
     return routed.groupBy("shape_id").agg(F.min("shape").alias("shape"), F.count(F.lit(1)).alias("n_nodes"), F.countDistinct("parent_path").alias("n_parent_paths"))
 
 
